@@ -27,8 +27,8 @@ LOOKALIKES = {
 _SHOW_NOTHING = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF)]
 
 #: A Java and RE2 class of the same characters in the basic plane.
-INVISIBLE_CLASS = "[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]"
-SPACE_CLASS = "[\\s\u0085   -     　]"
+INVISIBLE_CLASS = r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]"
+SPACE_CLASS = r"[\s\u0085   -     　]"
 
 
 def shows_nothing(c: str) -> bool:
@@ -92,10 +92,10 @@ def fold_width(c: Column) -> Column:
     ascii_ = "".join(chr(n - 0xFEE0) for n in range(0xFF01, 0xFF5F))
     alike = LOOKALIKES
     spaces = "  " + "".join(chr(n) for n in range(0x2000, 0x200B)) + "  　"
-    return F.translate(F.regexp_replace(c, INVISIBLE_CLASS, ""), wide + spaces + "".join(alike) + "‑‐", ascii_ + " " * len(spaces) + "".join(alike.values()) + "--")
+    return F.translate(F.regexp_replace(c, INVISIBLE_CLASS, ""), wide + spaces + "".join(alike) + "\u2011\u2010", ascii_ + " " * len(spaces) + "".join(alike.values()) + "--")
 
 
 def fold_visual(c: Column) -> Column:
     """``fold_width`` plus every other one-to-one look-alike (radicals, compatibility ideographs) in one translate pass."""
     a, b = one_to_one()
-    return F.translate(F.regexp_replace(c, INVISIBLE_CLASS, ""), a + "‐", b + "-")
+    return F.translate(F.regexp_replace(c, INVISIBLE_CLASS, ""), a + "\u2010", b + "-")
