@@ -60,11 +60,11 @@ def code_points() -> range:
 
 
 @lru_cache(maxsize=1)
-def decomposition_rows() -> list[tuple[str, str, int]]:
-    """(character, what it looks like) for each assigned character that changes; Hangul syllables stay whole. Bounded by Unicode."""
+def decomposition_rows() -> list[tuple[str, str]]:
+    """(character, what it looks like) for each assigned character that changes. Bounded by Unicode."""
     rows = []
     for n in code_points():
-        if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n <= 0xDFFF or 0xE000 <= n <= 0xF8FF:
+        if 0xD800 <= n <= 0xDFFF or 0xE000 <= n <= 0xF8FF:
             continue
         c = chr(n)
         if (d := visual_decomposition(c)) != c:
