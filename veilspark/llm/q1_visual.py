@@ -8,11 +8,11 @@ from veilspark.session import load
 
 def p1_found(spark, sf_dir):
     """Pairs of values of one project that differ and look the same."""
-    e = load(spark, sf_dir, "entities").select("entity_id", "project_id", "kind", "original")
-    b = load(spark, sf_dir, "redacted_text_blocks").select("block_key", "project_id", "text")
-    one = same_looks(e, "entity_id", ["project_id", "kind"], "original").select(F.lit("original").alias("field"), "key_a", "key_b")
-    two = same_looks(b, "block_key", ["project_id"], "text", least=2).select(F.lit("text").alias("field"), "key_a", "key_b")
-    return one.unionByName(two)
+    e = load(spark, sf_dir, "entities").select(F.lit("original").alias("field"), F.col("entity_id").alias("key"), "project_id", "kind", F.col("original").alias("t"))
+    b = load(spark, sf_dir, "redacted_text_blocks").select(F.lit("text").alias("field"), F.col("block_key").alias("key"), "project_id", F.lit(None).cast("string").alias("kind"), F.col("text").alias("t"))
+    values = e.unionByName(b.filter(F.length("t") >= 2))
+    pairs = same_looks(values, "key", ["field", "project_id", "kind"], "t", keep="field")
+    return pairs.select("field", "key_a", "key_b")
 
 
 def p1_forms(spark, sf_dir):

@@ -15,10 +15,11 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.chars import code_points, decomposition_rows
+from veilspark.session import cut
 
 #: Characters without decomposition, look-alike or combining class; a regular expression's class, checked against the tables in the tests.
 STABLE = r" -~一-鿿、。〈-】‘’“”"
@@ -48,17 +49,19 @@ def mark_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), "m string, ccc int")
 
 
-def _recompose(starter: Column, marks: Column) -> Column:
-    """The starter with its ordered marks composed where that is possible."""
-    table = compositions()
-    known = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
-    acc = F.struct(starter.alias("base"), F.lit("").alias("rest"))
+def composition_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sorted(compositions().items()), "pair string, composed string")
 
-    def step(a: Column, m: Column) -> Column:
-        joined = F.try_element_at(known, F.concat(a["base"], m))
-        return F.when(joined.isNotNull() & (a["rest"] == ""), F.struct(joined.alias("base"), a["rest"].alias("rest"))).otherwise(F.struct(a["base"].alias("base"), F.concat(a["rest"], m).alias("rest")))
 
-    return F.aggregate(marks, acc, step, lambda a: F.concat(a["base"], a["rest"]))
+def _recompose(runs: DataFrame, rounds: int = 3) -> DataFrame:
+    """Runs of a starter and its ordered marks, composed mark by mark where Unicode does, in as many rounds; other marks stay behind."""
+    table = F.broadcast(composition_table(runs.sparkSession))
+    for _ in range(rounds):
+        first = F.get("marks", F.lit(0))
+        runs = runs.join(table, F.concat("base", first) == F.col("pair"), "left")
+        rest = F.slice("marks", 2, F.greatest(F.size("marks") - 1, F.lit(0)))
+        runs = runs.withColumn("base", F.coalesce("composed", "base")).withColumn("marks", F.when(F.col("composed").isNotNull(), rest).otherwise(F.col("marks"))).drop("pair", "composed")
+    return runs
 
 
 def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> DataFrame:
@@ -79,22 +82,22 @@ def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> Dat
     at = F.struct("pos", "sub")
     x = x.withColumn("starter", F.max(F.when((F.col("ccc") == 0) & (F.col("s") != ""), at)).over(w))
     runs = x.groupBy(*key, "starter").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "s"))).alias("r"))
-    marks = F.filter(F.col("r"), lambda y: y["ccc"] > 0)
-    plain = F.array_join(F.transform("r", lambda y: y["s"]), "")
-    starter = F.array_join(F.transform(F.filter(F.col("r"), lambda y: y["ccc"] == 0), lambda y: y["s"]), "")
-    runs = runs.select(*key, F.struct(F.col("starter"), F.when(F.size(marks) == 0, plain).otherwise(_recompose(starter, F.transform(marks, lambda y: y["s"]))).alias("s")).alias("run"))
+    of = lambda p: F.transform(F.filter(F.col("r"), p), lambda y: y["s"])
+    runs = runs.select(*key, "starter", F.array_join(of(lambda y: y["ccc"] == 0), "").alias("base"), of(lambda y: y["ccc"] > 0).alias("marks"))
+    runs = _recompose(runs).select(*key, F.struct(F.col("starter"), F.concat("base", F.array_join("marks", "")).alias("s")).alias("run"))
     built = runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("run")), lambda y: y["s"]), "").alias("_f"))
     return kept.unionByName(built.select(*key, spaces(F.col("_f")).alias(out)))
 
 
-def same_looks(df: DataFrame, key: str, scope: list[str], text: str, least: int = 1) -> DataFrame:
-    """Pairs (key_a < key_b) of one scope whose texts differ and look the same.
+def same_looks(df: DataFrame, key: str, scope: list[str], text: str, keep: str | None = None) -> DataFrame:
+    """Pairs (key_a < key_b) of one scope whose texts differ and look the same; ``keep`` names a column of the scope to give with them.
 
     Copies are classed by their exact text first, so that only classes are compared; members are joined to pairs of classes."""
-    base = df.filter(F.col(text).isNotNull() & (F.length(text) >= least)).select(F.col(key).alias("k"), *scope, F.col(text).alias("t"))
+    base = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), *scope, F.col(text).alias("t"))
     digest = lambda c: F.unhex(F.md5(c))
     form = one_form(base.withColumn("raw", digest(F.col("t"))), ["k", *scope, "raw"], "t")
-    m = form.filter(F.length("form") >= least).select("k", *scope, "raw", digest(F.col("form")).alias("form")).distinct()
+    m = form.filter(F.length("form") >= 1).select("k", *scope, "raw", digest(F.col("form")).alias("form")).distinct()
+    m = cut(m)  # digests only; what follows reads them several times
     group = [*scope, "form"]
     several = m.groupBy(*group).agg(F.min("raw").alias("r0"), F.max("raw").alias("r1")).filter("r0 <> r1").select(*group)
     eq = [F.col(f"m.{c}").eqNullSafe(F.col(f"g.{c}")) for c in group]
@@ -105,4 +108,4 @@ def same_looks(df: DataFrame, key: str, scope: list[str], text: str, least: int
     for side, r in (("x", "ra"), ("y", "rb")):
         n = m.withColumnsRenamed({c: f"{side}_{c}" for c in [*group, "raw", "k"]})
         pairs = pairs.join(n, [F.col(c).eqNullSafe(F.col(f"{side}_{c}")) for c in group] + [F.col(r) == F.col(f"{side}_raw")])
-    return pairs.select(F.least("x_k", "y_k").alias("key_a"), F.greatest("x_k", "y_k").alias("key_b")).distinct()
+    return pairs.select(*([keep] if keep else []), F.least("x_k", "y_k").alias("key_a"), F.greatest("x_k", "y_k").alias("key_b")).distinct()
