@@ -52,7 +52,7 @@ def han_value(s: str) -> int:
 
 
 class Reader:
-    """Reads one record into (number, street, kind of way, town, district, province); None where that fails."""
+    """Reads one record into (number, street, kind of way, town, district, province, script); None where that fails."""
 
     def __init__(self, simple: dict[str, str], sound: dict[str, str]):
         self.simple, self.sound = simple, sound
@@ -99,7 +99,7 @@ class Reader:
                 d = c[1]
                 rest = c[2]
                 district = d
-            parts = rest.split()
+            parts = [re.sub("(?<=..)[区县市]$", "", x) for x in rest.split()]
             if town is None and len(parts) > 1:
                 town, parts = parts[0], parts[1:]
             if district is None and len(parts) > 1:
@@ -114,7 +114,7 @@ class Reader:
             name = word
         if not name or not town:
             return None
-        return (number, self.say(name), way, self.say(town), self.say(district) if district else None, self._province(province))
+        return (number, self.say(name), way, self.say(town), self.say(district) if district else None, self._province(province), "han")
 
     def _province(self, p: str | None) -> str | None:
         if not p:
@@ -149,20 +149,21 @@ class Reader:
         clean = lambda x: re.sub("[^a-z]", "", x) if x else None
         if not town or not street:
             return None
-        return (number, clean(street), way, clean(town), clean(district), clean(province))
+        return (number, clean(street), way, clean(town), clean(district), clean(province), "han" if district or province else "latin")
 
 
-def word_cost(a: str, b: str) -> float:
-    """Cost of one token for another: nothing for equal ones or abbreviations of one way, else its edits."""
+def word_cost(a: str, b: str, syllables: bool) -> float:
+    """Cost of one token for another: nothing for equal ones or abbreviations of one way, else its edits. A character mistaken for one that
+    looks alike may change a syllable by two letters."""
     if a == b or KIND.get(a, a) == KIND.get(b, b):
         return 0.0
     if a in KIND or b in KIND:
         return 2.0
-    d = osa(a, b, 2)
-    return 0.3 if d == 1 and min(len(a), len(b)) >= 4 else 0.7 if d == 2 and min(len(a), len(b)) >= 9 else 2.0
+    d, n = osa(a, b, 2), min(len(a), len(b))
+    return 0.3 if d == 1 and n >= 4 else 0.6 if d == 2 and n >= 5 and syllables else 2.0
 
 
-def align(a: list[str], b: list[str]) -> float:
+def align(a: list[str], b: list[str], syllables: bool = False) -> float:
     """Least cost of an affine-gap alignment of two token lists."""
     inf, n, m = float("inf"), len(a), len(b)
     match = np.full((n + 1, m + 1), inf)
@@ -171,7 +172,7 @@ def align(a: list[str], b: list[str]) -> float:
     for i in range(n + 1):
         for j in range(m + 1):
             if i and j:
-                match[i, j] = min(match[i - 1, j - 1], ga[i - 1, j - 1], gb[i - 1, j - 1]) + word_cost(a[i - 1], b[j - 1])
+                match[i, j] = min(match[i - 1, j - 1], ga[i - 1, j - 1], gb[i - 1, j - 1]) + word_cost(a[i - 1], b[j - 1], syllables)
             if i:
                 ga[i, j] = min(match[i - 1, j] + GAP_OPEN, ga[i - 1, j] + GAP_EXTEND, gb[i - 1, j] + GAP_OPEN)
             if j:
@@ -184,11 +185,11 @@ def same_place(x: tuple, y: tuple) -> bool:
     if x[0] != y[0]:
         return False
     for i in (4, 5):
-        if x[i] and y[i] and osa(x[i], y[i], 1) > 1:
+        if x[i] and y[i] and osa(x[i], y[i], 2) > 2:
             return False
     both = lambda i: bool(x[i] and y[i])
     tokens = lambda r: [r[1], r[2], r[3], *([r[4]] if both(4) else []), *([r[5]] if both(5) else [])]
-    return align(tokens(x), tokens(y)) <= ACCEPT
+    return align(tokens(x), tokens(y), "han" in (x[6], y[6])) <= ACCEPT
 
 
 def _bands(number: int, street: str, town: str, seeds: np.ndarray) -> list[int]:
@@ -205,11 +206,11 @@ def hash_text(s: str) -> int:
     return xxhash.xxh64_intdigest(s)
 
 
-_FIELDS = ["number", "street", "way", "town", "district", "province"]
+_FIELDS = ["number", "street", "way", "town", "district", "province", "script"]
 
 
 def readings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, number, street, way, town, district, province) of each record that can be read."""
+    """(key, number, street, way, town, district, province, script) of each record that can be read."""
     reader = df.sparkSession.sparkContext.broadcast(Reader(*reading_tables(df.sparkSession)))
     kind = df.schema[key].dataType.simpleString()
 
@@ -220,13 +221,34 @@ def readings(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["k", *_FIELDS])
 
     picked = df.select(df[key].alias("k"), df[text].alias("t")).filter("t is not null")
-    return picked.mapInPandas(run, f"k {kind}, number long, street string, way string, town string, district string, province string").withColumnRenamed("k", key)
+    return picked.mapInPandas(run, f"k {kind}, number long, street string, way string, town string, district string, province string, script string").withColumnRenamed("k", key)
+
+
+def _deletions(c: F.Column) -> F.Column:
+    """The token and what is left of it without one letter."""
+    at = F.sequence(F.lit(1), F.length(c))
+    return F.array_distinct(F.concat(F.array(c), F.transform(at, lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+
+
+def respell(r: DataFrame, column: str, script: str = "latin") -> DataFrame:
+    """Rare spellings of a column's tokens replaced by the most frequent one that is one slip away: a letter more, less, other or swapped.
+
+    Tokens meet on their one-letter deletions, so no token is compared with all others."""
+    counts = r.filter(F.col("script") == script).groupBy(column).count().select(F.col(column).alias("w"), F.col("count").alias("n")).filter("length(w) >= 4")
+    keys = counts.select("w", "n", F.explode(_deletions(F.col("w"))).alias("d"))
+    a, b = keys.select(F.col("w").alias("bad"), F.col("n").alias("bn"), "d"), keys.select(F.col("w").alias("good"), F.col("n").alias("gn"), "d")
+    near = a.join(b, "d").filter("bad <> good and gn > 2 * bn")
+    lev = F.levenshtein("bad", "good")
+    sorted_letters = lambda c: F.array_sort(F.split(c, ""))
+    near = near.filter((lev <= 1) | ((lev == 2) & (F.length("bad") == F.length("good")) & (sorted_letters("bad") == sorted_letters("good"))))
+    fix = near.groupBy("bad").agg(F.max_by("good", F.struct("gn", "good")).alias("good"))
+    return r.join(fix, (F.col(column) == F.col("bad")) & (F.col("script") == script), "left").withColumn(column, F.coalesce("good", column)).drop("bad", "good")
 
 
 def same_places(df: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (key_a < key_b) of records that denote one place."""
-    r = readings(df, key, text).distinct().withColumn("form", F.xxhash64(*_FIELDS))
-    r = cut(r)
+    r = cut(readings(df, key, text).distinct())
+    r = cut(respell(respell(r, "street"), "town").withColumn("form", F.xxhash64(*_FIELDS)))
     forms = r.select("form", *_FIELDS).dropDuplicates(["form"])
 
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,8 +10,8 @@ from pyspark.sql import SparkSession
 
 from veilspark.functions.chars import visual_decomposition
 
-#: Readings of characters as surnames that differ from their common reading (fixed values).
-SURNAME_READINGS = {"单": "shan", "曾": "zeng", "解": "xie", "任": "ren", "仇": "qiu", "区": "ou", "查": "zha", "盖": "ge", "翟": "zhai", "朴": "piao", "尉": "wei"}
+#: Characters whose reading in names is confused with that of their look-alike (fixed values).
+NAME_READINGS = {"伯": "bai", "佰": "bai"}
 
 
 def reading_tables(spark: SparkSession) -> tuple[dict[str, str], dict[str, str]]:
@@ -29,7 +29,7 @@ def _tables(app: str, spark: SparkSession) -> tuple[dict[str, str], dict[str, st
         run = lambda name, xs: icu.getInstance(name).transliterate("\n".join(xs)).split("\n")
         simple = dict(zip(chars, run("Traditional-Simplified", chars)))
         sound = {c: re.sub("[^a-z]", "", s) for c, s in zip(chars, run("Han-Latin; Latin-ASCII; Lower", chars))}
-        _known[app] = ({c: s for c, s in simple.items() if c != s and len(s) == 1}, sound)
+        _known[app] = ({c: s for c, s in simple.items() if c != s and len(s) == 1}, sound | NAME_READINGS)
     return _known[app]
 
 
