@@ -54,19 +54,18 @@ def _first(found: DataFrame, scope: list[str]) -> DataFrame:
     return found.groupBy(*scope, "kind", "original").agg(first).select(*scope, "kind", "original", "f.placeholder_prefix", "f.strategy", "f.replacement_hint")
 
 
+def _occurrences(text: Column, i: int, rule: Rule) -> Column:
+    def one(x: Column, j: Column) -> Column:
+        hint = amount_range(x) if rule.name == "amount" else F.lit(None).cast("string")
+        return F.struct(F.lit(i).alias("rule_ord"), j.alias("match_ord"), F.lit(rule.kind).alias("kind"), x.alias("original"), F.lit(rule.prefix).alias("placeholder_prefix"), F.lit(rule.strategy).alias("strategy"), hint.alias("replacement_hint"))
+
+    return F.transform(matches(text, rule), one)
+
+
 def detect(df: DataFrame, scope: list[str], order: str, text: str) -> DataFrame:
     """(scope, kind, original, placeholder_prefix, strategy, replacement_hint) of all entities of all texts of a scope."""
     df = df.filter(F.col(text).isNotNull())
-    structs = []
-    for i, rule in enumerate(RULES):
-        hint = (lambda x: amount_range(x)) if rule.name == "amount" else (lambda x: F.lit(None).cast("string"))
-        structs.append(
-            F.transform(
-                matches(F.col(text), rule),
-                lambda x, j, i=i, rule=rule, hint=hint: F.struct(F.lit(i).alias("rule_ord"), j.alias("match_ord"), F.lit(rule.kind).alias("kind"), x.alias("original"), F.lit(rule.prefix).alias("placeholder_prefix"), F.lit(rule.strategy).alias("strategy"), hint(x).alias("replacement_hint")),
-            )
-        )
-    found = df.select(*scope, F.col(order).alias("text_ord"), F.inline(F.flatten(F.array(*structs))))
+    found = df.select(*scope, F.col(order).alias("text_ord"), F.inline(F.flatten(F.array(*[_occurrences(F.col(text), i, r) for i, r in enumerate(RULES)]))))
     return _first(found, scope)
 
 

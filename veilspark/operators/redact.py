@@ -129,7 +129,8 @@ def present_values(texts: DataFrame, values: DataFrame, project: str, text: str,
                     found.update(search.pairs[i][0] for _, i in search.auto.iter(t))
                 else:
                     found.update(o for o, _ in search.pairs if o in t)
-        return pd.DataFrame({project: [a[project].iloc[0]] * len(found), value: sorted(found)})
+        of = a[project].iloc[0] if len(a) else None
+        return pd.DataFrame({project: pd.Series([of] * len(found), dtype=object), value: pd.Series(sorted(found), dtype=object)})
 
     t = texts.select(project, text).filter(F.col(text).isNotNull())
     v = values.select(project, value).filter(F.length(value) > 0).distinct()

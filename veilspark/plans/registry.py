@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veilspark.plans import curation
+from veilspark.plans import curation, redaction
 
-MODULES = [curation]
+MODULES = [redaction, curation]
 
 
 def queries() -> dict:
