@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veilspark.plans import curation, redaction
+from veilspark.plans import curation, flagship, redaction
 
-MODULES = [redaction, curation]
+MODULES = [flagship, redaction, curation]
 
 
 def queries() -> dict:
