@@ -7,12 +7,17 @@ correction. Lines that are page numbers by form, and short lines that interrupt
 furniture. A hyphen at a line end is a cut when the joined word is attested more than the compound, or when its halves are no words.
 
 Defined results: null and empty texts have no noise and stay; mere line breaks are no noise, and repair joins them; repeated rows give one
-result. Texts are treated whole; counts cover all rows. The table of corrections is broadcast only while it has fewer than
-``BROADCAST_ROWS`` rows; beyond that the same join is shuffled.
+result. Texts are treated whole; counts cover all rows. Corrections are looked up in a broadcast table while they are
+fewer than ``BROADCAST_ROWS``; beyond that the same tokens are joined with them by a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +34,12 @@ BROADCAST_ROWS = 1_000_000
 #: Blocks in which a line must interrupt the text to be known as furniture.
 HEADER_BLOCKS = 3
 
-_WORD = r"(?<![\p{L}\p{M}@0-9'])[A-Za-zÀ-ÿ@0-9']{4,}(?![\p{L}\p{M}])"
-_COMPOUND = r"(?<![\p{L}\p{M}])[A-Za-zÀ-ÿ]{2,}-[a-zà-ÿ]{2,}(?![\p{L}\p{M}])"
 _HYPHEN = r"([A-Za-zÀ-ÿ@0-9]{1,})[-‐‑­][ \t]*\n[ \t]*([a-zà-ÿ@0-9]{1,})"
 _NUM = r"[0-9OolISB]{1,4}"
 PAGE_NUMBER = rf"^\s*(?:第\s*{_NUM}\s*[页貞]?\s*(?:[/,，共]?\s*共?\s*{_NUM}\s*页)?|[-—–·•~\s]*{_NUM}[-—–·•~\s]*|[-—–\s]*{_NUM}\s*/\s*{_NUM}[-—–\s]*|(?i:page|p\.?|pg\.?)\s*{_NUM}(?:\s*(?:of|0f|/)\s*{_NUM})?|[ivxlc]{{1,6}}|[IVXLC]{{1,6}})\s*$"
 #: Punctuation and digits read as letters, and the reverse.
-_STOPS = r"[\p{IsHan}%％）)A-Z]o(?=\s*(?:[\p{IsHan}\n]|$))|[\p{IsHan}%％）)\dA-Z]'\s*[\p{IsHan}\d]"
-_DIGITS = r"(?<![A-Za-z0-9\-/.])(?:\d+[OolSBI][\dOolSBI]*|[OolSBI][OolSBI]*\d[\dOolSBI]*)(?=[\p{IsHan}%％]|kV|\s?[a-z]{3}|\.\d|\.\n)|\d\.\n?[OolSBI](?=%|\d%)|\d\.\d?[OolSBI]%"
+_STOPS = r"[一-鿿%％）)A-Z]o(?=\s*(?:[一-鿿\n]|$))|[一-鿿%％）)\dA-Z]'\s*[一-鿿\d]"
+_DIGITS = r"(?<![A-Za-z0-9\-/.])(?:\d+[OolSBI][\dOolSBI]*|[OolSBI][OolSBI]*\d[\dOolSBI]*)(?=[一-鿿%％]|kV|\s?[a-z]{3}|\.\d|\.\n)|\d\.\n?[OolSBI](?=%|\d%)|\d\.\d?[OolSBI]%"
 _END = r"[。！？；.!?;:：]\s*$"
 
 
@@ -48,31 +51,53 @@ def _value(c: Column) -> Column:
     return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("bigint"), add)
 
 
-def _windows(pairs: list[str]) -> str:
-    return "".join(sorted({c for p in pairs for c in p}))
-
+_LATIN4, _RUN = re.compile("[A-Za-z@0-9']{3}"), re.compile(r"[\w@']{4,}")
+_WORD = re.compile("[A-Za-zÀ-ÿ@0-9']+")
+_COMPOUND = re.compile(r"(?<![^\W\d_])[A-Za-zÀ-ÿ]{2,}-[a-zà-ÿ]{2,}(?![^\W\d_])")
+_BREAK = re.compile(r"\s*\n\s*")
+_BOTH = re.compile("[" + "".join(sorted({c for p in HAN for c in p})) + "]")
+_BAD = re.compile("[" + "".join(sorted({p[1] for p in HAN})) + "]")
+
+
+def tokens(t: str, chars: re.Pattern = _BOTH) -> list[str]:
+    """Words, compounds, and windows of two and three characters around the ideographs of ``chars``, also across line breaks.
+
+    Python's character classes are bitmaps; the same search in the JVM compares each character with every member of the class."""
+    out = []
+    if _LATIN4.search(t):
+        out = [w.lower() for w in _RUN.findall(t) if w.isascii() or _WORD.fullmatch(w)]
+        if "-" in t:
+            out += [w.lower() for w in _COMPOUND.findall(t)]
+    if chars.search(t):
+        flat = _BREAK.sub("", t) if "\n" in t else t
+        n = len(flat)
+        for m in chars.finditer(flat):
+            i = m.start()
+            before, after = i > 0, i + 1 < n
+            if before and after:
+                out.append(flat[i - 1 : i + 2])
+            if before and "一" <= flat[i - 1] <= "鿿":
+                out.append(flat[i - 1 : i + 1])
+            if after and "一" <= flat[i + 1] <= "鿿":
+                out.append(flat[i : i + 2])
+    return out
 
-def _flat(c: Column) -> Column:
-    """Text of ideographs without its line breaks, for windows that cross them."""
-    return F.regexp_replace(c, r"\s*\n\s*", "")
 
+def vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """(token, n) over all rows, counted in each partition before the shuffle."""
 
-def tokens(c: Column) -> Column:
-    """Words, compounds and windows of two and three characters around confusable ideographs."""
-    chars = _windows(HAN)
-    take = lambda p, g, x=c: F.regexp_extract_all(x, F.lit(p), g)
-    flat = _flat(c)
-    latin = F.when(c.rlike("[A-Za-z]{4}"), F.concat(F.transform(take(_WORD, 0), F.lower), F.transform(take(_COMPOUND, 0), F.lower))).otherwise(F.array().cast("array<string>"))
-    han = F.when(
-        c.rlike(r"\p{IsHan}"),
-        F.concat(take(rf"(?=(.[{chars}].))", 1, flat), take(rf"(?=(?<![{chars}])([{chars}]\p{{IsHan}}))", 1, flat), take(rf"(?=(\p{{IsHan}}[{chars}]))", 1, flat)),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.concat(latin, han)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["t"]:
+                total.update(tokens(t))
+            if len(total) > 1_000_000:
+                yield pd.DataFrame(total.items(), columns=["token", "n"], dtype=object)
+                total = Counter()
+        yield pd.DataFrame(total.items(), columns=["token", "n"], dtype=object)
 
-
-def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """(token, n) over all rows."""
-    return df.filter(F.col(text).isNotNull()).select(F.explode(tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    t = df.filter(F.length(text) > 0).select(F.col(text).alias("t"))
+    return t.mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def _differences(spark: SparkSession) -> DataFrame:
@@ -102,22 +127,36 @@ def corrections(vocab: DataFrame) -> DataFrame:
     good = v.filter(F.col("n") >= least).filter("kind = 'window' or token rlike '^[a-zà-ÿ]+(n.t)?$'").select(F.col("token").alias("good"), F.col("n").alias("gn"), F.col("v").alias("gv"), "kind", F.col("len").alias("glen"))
     ratio = F.when((F.col("kind") == "window") & (F.col("len") == 2), RATIO_PAIR).otherwise(RATIO)
     rare = v.filter("kind = 'window' or (length(token) >= 4 and token rlike '[a-z]')")
-    j = rare.join(F.broadcast(_differences(spark)), "kind").withColumn("gv", F.col("v") - F.col("d"))
+    holds = F.col("token").contains(F.col("b1")) & (F.col("b2").isNull() | F.col("token").contains(F.col("b2")))
+    d = F.broadcast(_differences(spark).withColumnRenamed("kind", "of"))
+    j = rare.join(d, (F.col("kind") == F.col("of")) & holds).withColumn("gv", F.col("v") - F.col("d")).drop("of")
     j = j.join(good, ["kind", "gv"]).filter(F.col("gn") >= ratio * F.col("n"))
     near = (F.abs(F.col("len") - F.col("glen")) <= 2) & (F.levenshtein("token", "good") <= 6)
     fix = j.filter(near & _misreads(F.col("good"), F.col("token"))).groupBy(F.col("token").alias("bad")).agg(F.max_by("good", F.struct(F.col("gn"), F.col("good"))).alias("good"))
     return fix
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def misread(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(key, bad, good): tokens of each row that are misread."""
     fix = cut(corrections(vocab))
-    t = df.filter(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("bad"))
-    return t.join(_small(fix), "bad")
+    t = df.filter(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = df.schema[key].dataType.simpleString()
+    small = fix.count() <= BROADCAST_ROWS
+    ship = df.sparkSession.sparkContext.broadcast({r["bad"]: r["good"] for r in fix.toLocalIterator()} if small else None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = ship.value
+        for pdf in batches:
+            rows = []
+            for k, x in zip(pdf["k"].tolist(), pdf["t"].tolist()):
+                found = set(tokens(x, _BAD))
+                rows += [(k, w, known[w]) for w in found if w in known] if small else [(k, w, "") for w in found]
+            yield pd.DataFrame(rows, columns=["k", "bad", "good"])
+
+    hits = t.mapInPandas(run, f"k {kind}, bad string, good string")
+    if not small:
+        hits = hits.drop("good").join(fix, "bad")
+    return hits.select(F.col("k").alias(key), "bad", "good")
 
 
 def furniture(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -136,7 +175,7 @@ def furniture(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     x = multi.withColumn("w", width).select(key, F.inline(rows))
     name = F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+" + _NUM + r"\s*$", "")), r"(?<=项目|单位|人员|Project |Unit |Person )[A-Z]{1,3}", "#")
-    x = x.withColumn("name", name).filter("number or length(line) <= 80")
+    x = cut(x.withColumn("name", name).filter("number or length(line) <= 80"))  # lines of the few texts with several, read several times
     strict = x.filter("breaks and not number and length(name) >= 4")
     known = strict.groupBy("name").agg(F.approx_count_distinct(key).alias("blocks"), F.count("*").alias("n"), F.countDistinct(key).alias("exact")).filter(F.col("exact") >= HEADER_BLOCKS).select("name")
     twice = strict.groupBy(key, "name").agg(F.count("*").alias("n")).filter("n >= 2").select(key, "name")
@@ -149,7 +188,7 @@ def furniture(df: DataFrame, key: str, text: str) -> DataFrame:
 def hyphens(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(key, head, tail): words cut by a hyphen at a line end."""
     both = lambda g: F.transform(F.regexp_extract_all(F.col(text), F.lit(_HYPHEN), g), F.lower)
-    x = df.filter(F.col(text).rlike(r"[A-Za-zÀ-ÿ0-9@][-‐‑­][ \t]*\n[ \t]*[a-zà-ÿ0-9@]")).select(key, F.explode(F.arrays_zip(both(1).alias("head"), both(2).alias("tail"))).alias("h")).select(key, "h.head", "h.tail").filter("head rlike '[a-zà-ÿ]' and tail rlike '[a-zà-ÿ]'")
+    x = df.filter(F.col(text).contains("\n")).filter(F.col(text).rlike(r"[A-Za-zÀ-ÿ0-9@][-‐‑­][ \t]*\n[ \t]*[a-zà-ÿ0-9@]")).select(key, F.explode(F.arrays_zip(both(1).alias("head"), both(2).alias("tail"))).alias("h")).select(key, "h.head", "h.tail").filter("head rlike '[a-zà-ÿ]' and tail rlike '[a-zà-ÿ]'")
     x = x.withColumn("joined", F.concat("head", "tail")).withColumn("compound", F.concat_ws("-", "head", "tail"))
     for c in ("joined", "compound", "head", "tail"):
         x = x.join(vocab.select(F.col("token").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
@@ -163,7 +202,7 @@ def find_noise(df: DataFrame, key: str, text: str) -> DataFrame:
     df = df.select(key, text)
     vocab = cut(vocabulary(df, text))
     t = F.col(text)
-    by_form = df.filter(t.rlike(_STOPS) | t.rlike(_DIGITS)).select(key, F.lit("misread").alias("noise"))
+    by_form = df.filter((t.rlike("o|'") & t.rlike(_STOPS)) | t.rlike(_DIGITS)).select(key, F.lit("misread").alias("noise"))
     found = by_form.unionByName(misread(df, key, text, vocab).select(key, F.lit("misread").alias("noise")))
     found = found.unionByName(furniture(df, key, text).select(key, F.lit("furniture").alias("noise")))
     found = found.unionByName(hyphens(df, key, text, vocab).select(key, F.lit("hyphen").alias("noise")))
@@ -181,9 +220,9 @@ def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.coalesce(F.array_contains("drop", i + 1), F.lit(False)))
     t = F.array_join(kept, "\n")
     t = F.aggregate(F.coalesce("cuts", F.array().cast("array<string>")), t, lambda a, c: F.regexp_replace(a, F.concat(F.lit(r"(?i)(\Q"), F.split_part(c, F.lit("\n"), F.lit(1)), F.lit(r"\E)[-‐‑­][ \t]*\n[ \t]*(\Q"), F.split_part(c, F.lit("\n"), F.lit(2)), F.lit(r"\E)")), F.lit("$1$2")))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[\p{IsHan}，。；：、！？（）％%\d])[ \t]*\n[ \t]*(?=[\p{IsHan}，。；：、！？（）％%\d])", ""), r"[ \t]*\n[ \t]*", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{IsHan}%％）)A-Z])o(?=\s*(?:\p{IsHan}|$))", "。")
-    t = F.regexp_replace(t, r"(?<=[\p{IsHan}%％）)\dA-Z])'(?=\s*[\p{IsHan}\d])", "，")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?<=[一-鿿，。；：、！？（）％%\d])[ \t]*\n[ \t]*(?=[一-鿿，。；：、！？（）％%\d])", ""), r"[ \t]*\n[ \t]*", " ")
+    t = F.regexp_replace(t, r"(?<=[一-鿿%％）)A-Z])o(?=\s*(?:[一-鿿]|$))", "。")
+    t = F.regexp_replace(t, r"(?<=[一-鿿%％）)\dA-Z])'(?=\s*[一-鿿\d])", "，")
     same_case = lambda a, f: F.replace(F.replace(a, f["bad"], f["good"]), F.initcap(f["bad"]), F.initcap(f["good"]))
     t = F.aggregate(F.coalesce("fix", F.array().cast("array<struct<n:int,bad:string,good:string>>")), t, same_case)
     return x.select(key, t.alias("repaired"))
