@@ -51,7 +51,7 @@ def character_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         for pdf in batches:
             for c in columns:
                 total.update("".join(x for x in pdf[c] if x))
-        yield pd.DataFrame({"c": list(total), "n": list(total.values())}, columns=["c", "n"])
+        yield pd.DataFrame(total.items(), columns=["c", "n"], dtype=object)
 
     return df.select(*columns).mapInPandas(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
 

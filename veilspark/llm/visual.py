@@ -66,8 +66,9 @@ def _recompose(runs: DataFrame, rounds: int = 3) -> DataFrame:
 
 def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> DataFrame:
     """(key, out): each row's text in one form. ``key`` must identify the rows; rows with equal keys must be equal."""
-    spark = df.sparkSession
-    base = df.select(*key, F.translate(F.col(text), _WIDE, _ASCII).alias("_t"))
+    spark, names = df.sparkSession, key
+    key = [f"_k{i}" for i in range(len(names))]  # names that clash with none used below
+    base = df.select(*[F.col(f"`{n}`").alias(k) for n, k in zip(names, key)], F.translate(F.col(text), _WIDE, _ASCII).alias("_t"))
     stable = F.col("_t").rlike(f"^[{STABLE}]*$")
     spaces = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     kept = base.filter(F.col("_t").isNull() | stable).select(*key, spaces(F.col("_t")).alias(out))
@@ -86,14 +87,15 @@ def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> Dat
     runs = runs.select(*key, "starter", F.array_join(of(lambda y: y["ccc"] == 0), "").alias("base"), of(lambda y: y["ccc"] > 0).alias("marks"))
     runs = _recompose(runs).select(*key, F.struct(F.col("starter"), F.concat("base", F.array_join("marks", "")).alias("s")).alias("run"))
     built = runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("run")), lambda y: y["s"]), "").alias("_f"))
-    return kept.unionByName(built.select(*key, spaces(F.col("_f")).alias(out)))
+    return kept.unionByName(built.select(*key, spaces(F.col("_f")).alias(out))).withColumnsRenamed(dict(zip(key, names)))
 
 
 def same_looks(df: DataFrame, key: str, scope: list[str], text: str, keep: str | None = None) -> DataFrame:
     """Pairs (key_a < key_b) of one scope whose texts differ and look the same; ``keep`` names a column of the scope to give with them.
 
     Copies are classed by their exact text first, so that only classes are compared; members are joined to pairs of classes."""
-    base = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), *scope, F.col(text).alias("t"))
+    names, scope = scope, [f"_s{i}" for i in range(len(scope))]
+    base = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), *[F.col(f"`{n}`").alias(s) for n, s in zip(names, scope)], F.col(text).alias("t"))
     digest = lambda c: F.unhex(F.md5(c))
     form = one_form(base.withColumn("raw", digest(F.col("t"))), ["k", *scope, "raw"], "t")
     m = form.filter(F.length("form") >= 1).select("k", *scope, "raw", digest(F.col("form")).alias("form")).distinct()
@@ -108,4 +110,4 @@ def same_looks(df: DataFrame, key: str, scope: list[str], text: str, keep: str |
     for side, r in (("x", "ra"), ("y", "rb")):
         n = m.withColumnsRenamed({c: f"{side}_{c}" for c in [*group, "raw", "k"]})
         pairs = pairs.join(n, [F.col(c).eqNullSafe(F.col(f"{side}_{c}")) for c in group] + [F.col(r) == F.col(f"{side}_raw")])
-    return pairs.select(*([keep] if keep else []), F.least("x_k", "y_k").alias("key_a"), F.greatest("x_k", "y_k").alias("key_b")).distinct()
+    return pairs.select(*([F.col(scope[names.index(keep)]).alias(keep)] if keep else []), F.least("x_k", "y_k").alias("key_a"), F.greatest("x_k", "y_k").alias("key_b")).distinct()
