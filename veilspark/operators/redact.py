@@ -92,6 +92,7 @@ def with_values(texts: DataFrame, values: DataFrame, project: str, run: Callable
     same = lambda a, b: F.col(f"{a}.{project}").eqNullSafe(F.col(f"{b}.{project}"))
     t = salted.alias("t").join(groups.alias("g"), same("t", "g")).select("t.*", (F.col("t._salt") % F.col("g._groups")).cast("int").alias("_group")).drop("_salt")
     v = values.alias("v").join(groups.alias("g"), same("v", "g")).select("v.*", F.explode(F.sequence(F.lit(0), F.col("g._groups") - 1)).alias("_group"))
+    v = v.toDF(*v.columns)  # columns of its own, where texts and values come from one frame
     return t.groupBy(project, "_group").cogroup(v.groupBy(project, "_group")).applyInPandas(lambda a, b: run(a.drop(columns="_group"), b), schema)
 
 
