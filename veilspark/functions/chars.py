@@ -84,15 +84,20 @@ def one_to_one() -> tuple[str, str]:
     return "".join(a), "".join(b)
 
 
+@lru_cache(maxsize=1)
+def width_pairs() -> tuple[str, str]:
+    """Arguments for translate() of ``fold_width``."""
+    wide = "".join(chr(n) for n in range(0xFF01, 0xFF5F))
+    ascii_ = "".join(chr(n - 0xFEE0) for n in range(0xFF01, 0xFF5F))
+    spaces = "\u00a0\u1680" + "".join(chr(n) for n in range(0x2000, 0x200B)) + "\u202f\u205f\u3000"
+    return wide + spaces + "".join(LOOKALIKES) + "\u2011\u2010", ascii_ + " " * len(spaces) + "".join(LOOKALIKES.values()) + "--"
+
+
 def fold_width(c: Column) -> Column:
     """Full-width ASCII forms, the ideographic space, look-alike letters and a few unit signs as ASCII; characters that show nothing vanish.
 
     Null stays null; an empty text stays empty."""
-    wide = "".join(chr(n) for n in range(0xFF01, 0xFF5F))
-    ascii_ = "".join(chr(n - 0xFEE0) for n in range(0xFF01, 0xFF5F))
-    alike = LOOKALIKES
-    spaces = "  " + "".join(chr(n) for n in range(0x2000, 0x200B)) + "  　"
-    return F.translate(F.regexp_replace(c, INVISIBLE_CLASS, ""), wide + spaces + "".join(alike) + "\u2011\u2010", ascii_ + " " * len(spaces) + "".join(alike.values()) + "--")
+    return F.translate(F.regexp_replace(c, INVISIBLE_CLASS, ""), *width_pairs())
 
 
 def fold_visual(c: Column) -> Column:

@@ -4,7 +4,8 @@ Everything is an expression of Spark SQL: the number and the unit are extracted
 looked up in a small fixed table by a broadcast join, the unit comes from the text, else from the remark beside it, else from
 the source's default, and factor and offset are applied in decimals, so that equal quantities give equal numbers.
 
-Defined results: a null, empty or unreadable text gives null value and unit; a bare number without any unit gives a null unit; a
+Defined results: a null, empty or unreadable text gives null value and unit, as does a number of more than twelve
+digits before or eight behind the point; a bare number without any unit gives a null unit; a
 remark may hold a range, a unit or both, in any order; the range is never used. Repeated rows stay repeated.
 """
 
@@ -25,7 +26,7 @@ UNITS = {
     "s": ("time", "1", "0"), "min": ("time", "60", "0"), "h": ("time", "3600", "0"), "d": ("time", "86400", "0"), "week": ("time", "604800", "0"), "ms": ("time", "0.001", "0"),
     "mV": ("voltage", "0.001", "0"), "V": ("voltage", "1", "0"), "kV": ("voltage", "1000", "0"), "MV": ("voltage", "1000000", "0"),
     "W": ("power", "1", "0"), "kW": ("power", "1000", "0"), "wkW": ("power", "10000000", "0"), "MW": ("power", "1000000", "0"), "GW": ("power", "1000000000", "0"),
-    "J": ("energy", "1", "0"), "kJ": ("energy", "1000", "0"), "MJ": ("energy", "1000000", "0"), "GJ": ("energy", "1000000000", "0"), "Wh": ("energy", "3600", "0"), "kWh": ("energy", "3600000", "0"), "wkWh": ("energy", "36000000000", "0"), "MWh": ("energy", "3600000000", "0"), "GWh": ("energy", "3600000000000", "0"),
+    "J": ("energy", "0.001", "0"), "kJ": ("energy", "1", "0"), "MJ": ("energy", "1000", "0"), "GJ": ("energy", "1000000", "0"), "Wh": ("energy", "3.6", "0"), "kWh": ("energy", "3600", "0"), "wkWh": ("energy", "36000000", "0"), "MWh": ("energy", "3600000", "0"), "GWh": ("energy", "3600000000", "0"),
     "Pa": ("pressure", "1", "0"), "kPa": ("pressure", "1000", "0"), "MPa": ("pressure", "1000000", "0"), "bar": ("pressure", "100000", "0"), "mbar": ("pressure", "100", "0"),
     "mg": ("mass", "0.000001", "0"), "g": ("mass", "0.001", "0"), "kg": ("mass", "1", "0"), "jin": ("mass", "0.5", "0"), "liang": ("mass", "0.05", "0"), "t": ("mass", "1000", "0"), "wt": ("mass", "10000000", "0"),
     "um": ("length", "0.000001", "0"), "mm": ("length", "0.001", "0"), "cm": ("length", "0.01", "0"), "dm": ("length", "0.1", "0"), "m": ("length", "1", "0"), "km": ("length", "1000", "0"), "in": ("length", "0.0254", "0"), "ft": ("length", "0.3048", "0"), "li": ("length", "500", "0"),
@@ -50,8 +51,8 @@ ALIASES = {
     "time": "次 times",
 }
 
-_UPPER = "≤ <= < ⩽ 不大于 不高于 不超过 不多于 至多 最多 最大 小于等于 低于 少于 atmost nomorethan upto".split()
-_LOWER = "≥ >= > ⩾ 不低于 不小于 不少于 至少 最少 最小 大于等于 高于 多于 atleast nolessthan".split()
+UPPER = "≤ <= < ⩽ 不大于 不高于 不超过 不多于 至多 最多 最大 小于等于 低于 少于 atmost nomorethan upto".split()
+LOWER = "≥ >= > ⩾ 不低于 不小于 不少于 至少 最少 最小 大于等于 高于 多于 atleast nolessthan".split()
 _HAN_DIGITS = "零〇一二两三四五六七八九"
 _NUMBER = r"[+-]?\d+(?:\.\d+)?"
 _HAN_NUMBER = r"[零〇一二两三四五六七八九十百千]+"
@@ -62,13 +63,17 @@ def alias_rows() -> list[tuple[str, str, str, str, str]]:
     return [(a, u, *UNITS[u]) for u, names in ALIASES.items() for a in names.split()]
 
 
-def alias_table(spark: SparkSession) -> DataFrame:
+def all_aliases() -> list[tuple[str, str, str, str, str]]:
+    """The aliases and, where no other unit is spelt so, their lower-case readings."""
     rows = alias_rows()
     seen = {r[0] for r in rows}
-    lower = [(low, *r[1:]) for r in rows if (low := r[0].lower()) not in seen and not seen.add(low)]
+    return rows + [(low, *r[1:]) for r in rows if (low := r[0].lower()) not in seen and not seen.add(low)]
+
+
+def alias_table(spark: SparkSession) -> DataFrame:
     d = F.col
-    return spark.createDataFrame(rows + lower, "alias string, unit string, dimension string, factor_s string, offset_s string").select(
-        "alias", "unit", "dimension", d("factor_s").cast("decimal(20,6)").alias("factor"), d("offset_s").cast("decimal(10,2)").alias("offset")
+    return spark.createDataFrame(all_aliases(), "alias string, unit string, dimension string, factor_s string, offset_s string").select(
+        "alias", "unit", "dimension", d("factor_s").cast("decimal(16,6)").alias("factor"), d("offset_s").cast("decimal(10,2)").alias("offset")
     )
 
 
@@ -90,16 +95,16 @@ def han_number(c: Column) -> Column:
 def _bound(c: Column) -> Column:
     low = F.lower(c)
     starts = lambda words: F.lit(False) if not words else low.rlike("^(?:" + "|".join(words) + ")")
-    return F.when(starts(_UPPER), "at_most").when(starts(_LOWER), "at_least").otherwise("none")
+    return F.when(starts(UPPER), "at_most").when(starts(LOWER), "at_least").otherwise("none")
 
 
 def normalize_quantities(df: DataFrame, text: str, hint: str | None = None, default_unit: str | None = None) -> DataFrame:
-    """Adds q_value decimal (base unit), q_dimension, q_unit, q_number decimal (as stated) and q_bound to each row.
+    """Adds q_value decimal(38,14) (base unit, exact), q_dimension, q_unit, q_number decimal (as stated) and q_bound to each row.
 
     The unit is that in the text, else that in ``hint``, else ``default_unit``, a column name or null."""
     spark = df.sparkSession
     clean = F.regexp_replace(F.regexp_replace(fold_width(fold_visual(F.col(text))), r"\s+", ""), r"(\d),(?=\d)", "$1")
-    words = "|".join(_UPPER + _LOWER)
+    words = "|".join(UPPER + LOWER)
     body = F.regexp_replace(F.col("_q"), f"(?i)^(?:{words})", "")
     lead = r"^(US\$|\$|€|[A-Z]{3}|百分之|千分之|人民币)?"
     x = df.withColumn("_q", clean).withColumn("_b", body)
@@ -108,7 +113,7 @@ def normalize_quantities(df: DataFrame, text: str, hint: str | None = None, defa
         .withColumn("_han", F.regexp_extract("_b", lead + f"({_HAN_NUMBER})(.*)$", 2))
         .withColumn("_lead", F.coalesce(F.nullif(F.regexp_extract("_b", lead + f"({_NUMBER}|{_HAN_NUMBER})(.*)$", 1), F.lit("")), F.lit("")))
         .withColumn("_rest", F.regexp_extract("_b", lead + f"({_NUMBER}|{_HAN_NUMBER})(.*)$", 3))
-        .withColumn("q_number", F.when(F.col("_digits") != "", F.expr("try_cast(_digits as decimal(24,8))")).when(F.col("_han") != "", han_number(F.col("_han")).cast("decimal(24,8)")))
+        .withColumn("q_number", F.when(F.col("_digits") != "", F.expr("try_cast(_digits as decimal(20,8))")).when(F.col("_han") != "", han_number(F.col("_han")).cast("decimal(20,8)")))
         .withColumn("q_bound", _bound(F.col("_q")))
         .withColumn("_own", F.coalesce(F.nullif(F.col("_rest"), F.lit("")), F.nullif(F.col("_lead"), F.lit(""))))
     )
@@ -123,7 +128,7 @@ def normalize_quantities(df: DataFrame, text: str, hint: str | None = None, defa
     x = x.withColumn("_said", F.coalesce("_own", "_hint", F.col(default_unit) if default_unit else F.lit(None).cast("string")))
     t = F.broadcast(alias_table(spark).select(*[F.col(c).alias(f"_{c}") for c in ("alias", "unit", "dimension", "factor", "offset")]))
     x = x.join(t, F.col("_said") == F.col("_alias"), "left")
-    value = ((F.col("q_number") + F.col("_offset")) * F.col("_factor")).cast("decimal(38,8)")
+    value = ((F.col("q_number") + F.col("_offset")) * F.col("_factor"))
     keep = [F.col(f"`{c}`") for c in df.columns]
     return x.select(*keep, "q_number", value.alias("q_value"), F.col("_dimension").alias("q_dimension"), F.col("_unit").alias("q_unit"), "q_bound")
 

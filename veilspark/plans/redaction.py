@@ -420,12 +420,12 @@ def conversion_report(spark, d):
     return planning.conversion_report(planning.input_plan(load(spark, d, "files"), "path"))
 
 
-@query("ocr_page_merge", "SELECT file_key, coalesce(string_agg(text, chr(10) ORDER BY block_key) FILTER (WHERE text <> ''), '') AS text, coalesce(avg(conf) FILTER (WHERE conf > 0), 0.0) AS confidence, CASE WHEN coalesce(string_agg(text, '') , '') = '' THEN 'empty' ELSE 'ok' END AS status FROM (SELECT DISTINCT project_id || '#' || file_ord AS file_key, block_key, text, structure.confidence AS conf FROM redacted_text_blocks WHERE structure.confidence IS NOT NULL) GROUP BY 1")
+@query("ocr_page_merge", "SELECT file_key, coalesce(string_agg(text, chr(10) ORDER BY block_key) FILTER (WHERE text <> ''), '') AS text, round(coalesce(avg(conf) FILTER (WHERE conf > 0), 0.0), 6) AS confidence, CASE WHEN coalesce(string_agg(text, '') , '') = '' THEN 'empty' ELSE 'ok' END AS status FROM (SELECT DISTINCT project_id || '#' || file_ord AS file_key, block_key, text, structure.confidence AS conf FROM redacted_text_blocks WHERE structure.confidence IS NOT NULL) GROUP BY 1")
 def ocr_page_merge(spark, d):
     """Recognised blocks merged to one text for each file."""
     b = load(spark, d, "redacted_text_blocks").filter("structure.confidence is not null")
     p = b.select(F.concat("project_id", F.lit("#"), F.col("file_ord").cast("string")).alias("file_key"), F.col("block_key").alias("page"), "text", F.col("structure.confidence").alias("confidence")).distinct()
-    return planning.merge_pages(p, "file_key")
+    return planning.merge_pages(p, "file_key").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(
