@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space in the sense of Unicode, spelt out so that every engine reads the same class.
-SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0   -     　"
+SPACE = "\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _DIGITS = "".join(chr(0xFF10 + i) for i in range(10))
 
 

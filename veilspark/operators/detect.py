@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.numbering import number_within
 from veilspark.functions.text import ascii_digits, clean_label_value, strip
-from veilspark.operators.rules import DICTIONARY_PREFIX, RULES, TECHNICAL_SIGNAL, Rule
+from veilspark.operators.rules import DICTIONARY_PREFIX, RULES, TECHNICAL_SIGNAL, WORDS, Rule
 
 
 def amount_range(value: Column) -> Column:
@@ -36,16 +36,26 @@ def technical_signal(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(TECHNICAL_SIGNAL)
 
 
-def matches(text: Column, rule: Rule) -> Column:
+def words(text: Column) -> Column:
+    """The words of a text that are long enough for the rules of whole words; cut once for all of them."""
+    return F.regexp_extract_all(text, F.lit(WORDS), 0)
+
+
+def matches(text: Column, rule: Rule, cut_words: Column | None = None) -> Column:
     """All values of one rule in a text, in order, cleaned."""
+    if rule.sort == "word":
+        whole = (f"(?{rule.flags}u)" if rule.flags else "") + f"^(?:{rule.core})$"
+        return F.filter(words(text) if cut_words is None else cut_words, lambda w: w.rlike(whole))
     found = F.regexp_extract_all(text, F.lit(rule.java), 1)
+    if rule.sign:
+        found = F.when(text.rlike(rule.sign), found).otherwise(F.array().cast("array<string>"))
     return F.filter(F.transform(found, clean_label_value if rule.sort == "label" else strip), lambda x: x != "")
 
 
 def rule_hits(df: DataFrame, text: str, rule: Rule) -> DataFrame:
     """The columns of ``df`` without the text, with match_ord and original for each match of the rule."""
     rest = [c for c in df.columns if c != text]
-    return df.filter(F.col(text).rlike(rule.java)).select(*rest, F.posexplode(matches(F.col(text), rule)).alias("match_ord", "original"))
+    return df.filter(F.col(text).rlike(rule.sign or rule.java)).select(*rest, F.posexplode(matches(F.col(text), rule)).alias("match_ord", "original"))
 
 
 def _first(found: DataFrame, scope: list[str]) -> DataFrame:
@@ -54,18 +64,19 @@ def _first(found: DataFrame, scope: list[str]) -> DataFrame:
     return found.groupBy(*scope, "kind", "original").agg(first).select(*scope, "kind", "original", "f.placeholder_prefix", "f.strategy", "f.replacement_hint")
 
 
-def _occurrences(text: Column, i: int, rule: Rule) -> Column:
+def _occurrences(text: Column, i: int, rule: Rule, cut_words: Column) -> Column:
     def one(x: Column, j: Column) -> Column:
         hint = amount_range(x) if rule.name == "amount" else F.lit(None).cast("string")
         return F.struct(F.lit(i).alias("rule_ord"), j.alias("match_ord"), F.lit(rule.kind).alias("kind"), x.alias("original"), F.lit(rule.prefix).alias("placeholder_prefix"), F.lit(rule.strategy).alias("strategy"), hint.alias("replacement_hint"))
 
-    return F.transform(matches(text, rule), one)
+    return F.transform(matches(text, rule, cut_words), one)
 
 
 def detect(df: DataFrame, scope: list[str], order: str, text: str) -> DataFrame:
     """(scope, kind, original, placeholder_prefix, strategy, replacement_hint) of all entities of all texts of a scope."""
     df = df.filter(F.col(text).isNotNull())
-    found = df.select(*scope, F.col(order).alias("text_ord"), F.inline(F.flatten(F.array(*[_occurrences(F.col(text), i, r) for i, r in enumerate(RULES)]))))
+    df = df.select(*scope, F.col(order).alias("text_ord"), F.col(text).alias("_t"), words(F.col(text)).alias("_w"))
+    found = df.select(*scope, "text_ord", F.inline(F.flatten(F.array(*[_occurrences(F.col("_t"), i, r, F.col("_w")) for i, r in enumerate(RULES)]))))
     return _first(found, scope)
 
 

@@ -21,6 +21,8 @@ class Rule(NamedTuple):
     #: label: the value after a label; word: stands alone, of word characters; edge: stands alone, of other characters too; free.
     sort: str
     flags: str = ""
+    #: A cheaper pattern without which no text has a value; most texts end there.
+    sign: str = ""
 
     @property
     def java(self) -> str:
@@ -32,6 +34,9 @@ class Rule(NamedTuple):
         return flags + body
 
 
+#: Words that a rule for whole words can match at all: none is shorter.
+WORDS = rf"[{_WORD}]{{8,}}"
+
 _YEAR_DATE = r"(?:18|19|20)" + D + "{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]" + D + "|3[01])"
 _PROVINCES = "北京市 天津市 上海市 重庆市 河北省 山西省 辽宁省 吉林省 黑龙江省 江苏省 浙江省 安徽省 福建省 江西省 山东省 河南省 湖北省 湖南省 广东省 海南省 四川省 贵州省 云南省 陕西省 甘肃省 青海省 台湾省 内蒙古自治区 广西壮族自治区 西藏自治区 宁夏回族自治区 新疆维吾尔自治区 香港特别行政区 澳门特别行政区".split()
 _CREDIT = "[0-9A-HJ-NP-RTUW-Y]"
@@ -45,13 +50,13 @@ RULES = [
     Rule("bank_card", "bank_card", "银行卡", "mask", rf"4[0-9]{{12,18}}|5[1-5][0-9]{{14,17}}|3[47][0-9]{{13}}|3[068][0-9]{{12}}|6(?:011|5[0-9]{{2}})[0-9]{{12,15}}|62[0-9]{{14,17}}|(?:2131|1800|35{D}{{3}}){D}{{11}}", "word"),
     Rule("passport", "passport", "护照", "mask", rf"[GEDSMPFT]{D}{{7,8}}", "word", "i"),
     Rule("credit_code", "unified_social_credit_code", "信用代码", "pseudonym", rf"{_CREDIT}{{2}}{D}{{6}}{_CREDIT}{{10}}", "word", "i"),
-    Rule("address", "address", "地址", "mask", rf"(?:{'|'.join(_PROVINCES)})[一-龥A-Za-z0-9（）()\-]{{2,60}}(?:路|街|道|巷|号|室|楼|层|村|镇|区|县|市)", "free"),
-    Rule("contract_id", "contract_id", "合同编号", "pseudonym", rf"HT-{D}{{4}}-{D}{{3,}}", "edge", "i"),
+    Rule("address", "address", "地址", "mask", rf"(?:{'|'.join(_PROVINCES)})[一-龥A-Za-z0-9（）()\-]{{2,60}}(?:路|街|道|巷|号|室|楼|层|村|镇|区|县|市)", "free", sign="省|(?:北京|天津|上海|重庆)市|自治区|特别行政区"),
+    Rule("contract_id", "contract_id", "合同编号", "pseudonym", rf"HT-{D}{{4}}-{D}{{3,}}", "edge", "i", "(?i)HT-"),
     Rule("phone", "phone", "电话", "mask", rf"1[3-9]{D}{{9}}", "word"),
-    Rule("email", "email", "邮箱", "mask", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "free"),
-    Rule("patent_id", "patent_id", "专利", "pseudonym", rf"(?:ZL|CN){D}{{9,13}}(?:\.{D})?", "edge", "i"),
+    Rule("email", "email", "邮箱", "mask", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "free", sign="@"),
+    Rule("patent_id", "patent_id", "专利", "pseudonym", rf"(?:ZL|CN){D}{{9,13}}(?:\.{D})?", "edge", "i", rf"(?i)(?:ZL|CN){D}"),
     Rule("software_copyright", "software_copyright", "软著", "pseudonym", rf"{D}{{4}}SR{D}{{5,8}}", "word", "i"),
-    Rule("amount", "amount", "金额区间", "range", rf"(?<![A-Za-z0-9]){NUM}{S}(?:亿元|万元|元)", "free"),
+    Rule("amount", "amount", "金额区间", "range", rf"(?<![A-Za-z0-9]){NUM}{S}(?:亿元|万元|元)", "free", sign="元"),
     Rule("technical_metric", "technical_metric", "技术指标", "keep", rf"(?:≤|>=|≥|<=)?{S}{NUM}{S}(?:kV|KV|%|％|次|天|小时|h|MW|kW|MWh|kWh)", "free"),
     Rule("validation_evidence", "validation_evidence", "验证信息", "keep", r"(?:试运行|现场验证|示范应用|第三方检测|验收结论)[^。；;\n]{0,30}", "free"),
 ]
