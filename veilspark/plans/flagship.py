@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.operators.package import public_package, redact_projects
-from veilspark.session import load
+from veilspark.session import load, spread
 
 
 def _redaction(spark: SparkSession, sf_dir: str):
     t = load(spark, sf_dir, "documents").filter("project_id is not null and text is not null").select("project_id", "doc_id", "text")
-    return redact_projects(t, "doc_id", load(spark, sf_dir, "decisions"), load(spark, sf_dir, "dictionary"))
+    return redact_projects(spread(t), "doc_id", load(spark, sf_dir, "decisions"), load(spark, sf_dir, "dictionary"))
 
 
 def flagship_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:

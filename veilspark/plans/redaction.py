@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.text import candidate_id, letters
 from veilspark.operators import audit, detect, governance, mapping, planning, redact, release, review
 from veilspark.operators.rules import DICTIONARY_PREFIX, IMPACT, RULES, SOFTENED, STRATEGIES, TECHNICAL_SIGNAL, D, S
-from veilspark.session import load
+from veilspark.session import load, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -100,7 +100,7 @@ def _impacts(spark, d) -> DataFrame:
 
 def _rule_query(rule):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return detect.rule_hits(load(spark, d, "documents").select("doc_id", "text"), "text", rule).groupBy("doc_id", "original").agg(F.count("*").alias("n"))
+        return detect.rule_hits(spread(load(spark, d, "documents").select("doc_id", "text")), "text", rule).groupBy("doc_id", "original").agg(F.count("*").alias("n"))
 
     run.__doc__ = f"Values of the rule {rule.name} in documents, with their number."
     return run
@@ -129,7 +129,7 @@ _ALL = " UNION ALL ".join(
 )
 def detected_entities(spark, d):
     """Entities of each project's documents, the first occurrence giving their attributes."""
-    return detect.detect(load(spark, d, "documents").select("project_id", "doc_id", "text"), ["project_id"], "doc_id", "text")
+    return detect.detect(spread(load(spark, d, "documents").select("project_id", "doc_id", "text")), ["project_id"], "doc_id", "text")
 
 
 @query(

@@ -29,6 +29,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores where its files would keep most of them idle, as with one small file; else as it is.
+
+    Costly work on each text gains more than the exchange takes; tables of many files are never exchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only where none is set, as in tests."""
     sc = spark.sparkContext
