@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from veilspark.llm.visual import one_form, same_looks
-from veilspark.session import load
+from veilspark.session import load, spread
 
 
 def p1_found(spark, sf_dir):
     """Pairs of values of one project that differ and look the same."""
     e = load(spark, sf_dir, "entities").select(F.lit("original").alias("field"), F.col("entity_id").alias("key"), "project_id", "kind", F.col("original").alias("t"))
-    b = load(spark, sf_dir, "redacted_text_blocks").select(F.lit("text").alias("field"), F.col("block_key").alias("key"), "project_id", F.lit(None).cast("string").alias("kind"), F.col("text").alias("t"))
+    b = spread(load(spark, sf_dir, "redacted_text_blocks").select(F.lit("text").alias("field"), F.col("block_key").alias("key"), "project_id", F.lit(None).cast("string").alias("kind"), F.col("text").alias("t")))
     values = e.unionByName(b.filter(F.length("t") >= 2))
     pairs = same_looks(values, "key", ["field", "project_id", "kind"], "t", keep="field")
     return pairs.select("field", "key_a", "key_b")

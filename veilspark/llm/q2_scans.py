@@ -1,12 +1,12 @@
 """Queries of problem 2: noise in text from scanned pages."""
 
 from veilspark.llm.scans import find_noise, repair
-from veilspark.session import load
+from veilspark.session import load, spread
 
 
 def p2_found(spark, sf_dir):
     """Blocks with a cut word, misread characters, a running header or a page number."""
-    b = load(spark, sf_dir, "redacted_text_blocks").select("block_key", "text")
+    b = spread(load(spark, sf_dir, "redacted_text_blocks").select("block_key", "text"))
     return find_noise(b, "block_key", "text").select("block_key").distinct()
 
 
