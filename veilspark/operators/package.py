@@ -30,6 +30,7 @@ def redact_projects(texts: DataFrame, key: str, decisions: DataFrame | None = No
     ``channels`` (project_id, file_ord, text_ord, text) are texts outside the body: they add entities but are not redacted here."""
     body = detect.detect(texts.select("project_id", key, "text"), ["project_id"], key, "text")
     if dictionary is not None:
+        body = cut(body)  # read twice below; detection is the costly part
         values = detect.dictionary_values(dictionary)
         here = redact.present_values(texts.select("project_id", "text"), values, "project_id", "text", "value")
         body = detect.with_dictionary(body, values.join(here, ["project_id", "value"], "left_semi"))
