@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +25,30 @@ def build_session(cores: str = "8", app: str = "veilspark", memory: str = "8g")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once for each application, unless they have it on their path."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or root.parent.suffix == ".zip":
+        return
+    archive = Path(tempfile.mkdtemp(prefix="veilspark-package-")) / "veilspark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(archive))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
