@@ -31,6 +31,8 @@ RATIO = 0.8
 _COMPOUND = "欧阳 司马 上官 诸葛 夏侯 东方 皇甫 尉迟 公孙 慕容 长孙 宇文 司徒".split()
 #: Frequent surnames (fixed values); their syllables tell a family name from a given name.
 SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷曲盛冉翁蓝路游辛靳管柴蒙鲍华喻祁蒲房滕屈饶解牟艾尤阳时穆农司卓古吉缪简车项连芦麦褚娄窦戚岑党宫费卜冷晏席卫柏卞"
+#: The most frequent of them: a name of two characters that begins with another one may be a given name alone.
+FIRM = set(SURNAMES[: SURNAMES.index("武") + 1]) - {"龙"}
 _TITLES = "董事长 总经理 总工程师 工程师 副经理 经理 主任 老师 同志 先生 女士 教授 博士 院长 所长 处长 科长 总工 总 工".split()
 _LATIN_TITLE = re.compile(r"^(?:mr/ms|mr|mrs|ms|miss|dr|prof|professor|ir|eng)\b\.?\s*", re.I)
 #: Short forms of English given names (fixed values).
@@ -242,8 +244,17 @@ def _field_fits(a: str, b: str) -> bool:
     return all(map(_word_fits, x, y))
 
 
-def same_organisation(a: dict, b: dict) -> str:
-    """'' , 'weak' or 'strong'."""
+def _slip(a: str, b: str, seen: dict[str, int]) -> bool:
+    """Whether one character of two is a rare one where the other has a frequent one."""
+    d = [(x, y) for x, y in zip(a, b) if x != y]
+    if len(a) != len(b) or len(a) < 2 or len(d) != 1:
+        return False
+    few, many = sorted((seen.get(d[0][0], 0), seen.get(d[0][1], 0)))
+    return many >= 20 and few * 20 <= many
+
+
+def same_organisation(a: dict, b: dict, seen: dict[str, int] | None = None) -> str:
+    """'' , 'weak' or 'strong'; ``seen`` counts the characters of all names, which tells slips from other names."""
     if a["branch"] != b["branch"]:
         return ""
     if a["class"] and b["class"] and a["class"] != b["class"]:
@@ -260,7 +271,8 @@ def same_organisation(a: dict, b: dict) -> str:
     if a["brand"] == b["brand"]:
         fits = True
     elif a["han"] and b["han"]:
-        fits = len(a["han"]) == len(b["han"]) and any(x == y for x, y in zip(a["han"], b["han"])) and osa(a["brand"], b["brand"], 2) <= 2 and bool(a["city"] and b["city"])
+        near = len(a["han"]) == len(b["han"]) and any(x == y for x, y in zip(a["han"], b["han"])) and osa(a["brand"], b["brand"], 2) <= 2
+        fits = bool(a["city"] and b["city"]) and (near or _slip(a["han"], b["han"], seen or {}))
     else:
         fits = _word_fits(a["brand"], b["brand"]) and min(len(a["brand"]), len(b["brand"])) >= 5 and not (a["han"] or b["han"])
     return "strong" if fits and _field_fits(a["field"], b["field"]) else ""
@@ -314,6 +326,8 @@ def is_full(r: dict) -> bool:
     """Whether a name says enough to found a cluster."""
     if "brand" in r:
         return bool(r["brand"]) and not r["acronym"]
+    if len(r["han"]) == 2 and r["han"][0] not in FIRM and r["other"]:
+        return False
     if r["family"] and r["given"]:
         return True
     return bool(r["other"]) and all(r["other"].split(" ", 1)) and not r["given"]
@@ -321,7 +335,8 @@ def is_full(r: dict) -> bool:
 
 def _tokens(r: dict) -> list[str]:
     if "brand" in r:
-        return [x for x in (r["brand"], "=" + (r["acronym"] or (r["letters"] if not r["han"] else ""))) if len(x) > 1]
+        whole = ["=" + (r["acronym"] or (r["letters"] if not r["han"] else "")), "=" + r["city"]]  # compared whole
+        return [x for x in (r["brand"], *whole) if len(x) > 1]
     out = {r["family"], r["given"]}
     if r["other"]:
         out |= set(r["other"].split(" ", 1))
@@ -378,6 +393,10 @@ def same_names(df: DataFrame, key: str, scope: list[str], text: str, kind: str)
 
     r = cut(scoped.mapInPandas(read, f"k {kt}, s string, full boolean, " + ", ".join(f"`{f}` string" for f in fields)))
 
+    # How often each ideograph stands in brands: one entry for each character of the script at most.
+    counted = r.filter("han <> ''").select(F.explode(F.split("han", "")).alias("c")).filter("c <> ''").groupBy("c").count()
+    letters = spark.sparkContext.broadcast({x["c"]: x["count"] for x in counted.collect()} if kind != "person" else {})
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = set()
@@ -390,7 +409,8 @@ def same_names(df: DataFrame, key: str, scope: list[str], text: str, kind: str)
 
     idx = r.mapInPandas(index, f"k {kt}, s string, z string, i array<string>")
     idx = idx.withColumn("n", F.count("*").over(Window.partitionBy("s", "z")))
-    # A common suffix is refined with the initial of another part, or with none where a record has no other part.
+    # A common suffix is refined with the initial of another part, or with none where a record has no other part: a name of one part that
+    # many records share fits several of them, and so would join none.
     fine = F.when(F.col("n") > COMMON, F.array_union("i", F.array(F.lit("")))).otherwise(F.array(F.lit("*")))
     idx = idx.select("k", "s", "z", F.explode(fine).alias("f"), (F.size("i") == 1) & (F.col("i")[0] == ""))
     idx = idx.toDF("k", "s", "z", "f", "bare").filter("f <> '' or bare or f = '*'").select("k", "s", "z", "f").distinct()
@@ -400,7 +420,7 @@ def same_names(df: DataFrame, key: str, scope: list[str], text: str, kind: str)
     pairs = pairs.join(side("a"), F.col("x") == F.col("ak")).join(side("b"), F.col("y") == F.col("bk"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        test = same_person if kind == "person" else same_organisation
+        test = same_person if kind == "person" else lambda p, q: same_organisation(p, q, letters.value)
         for pdf in batches:
             left = pdf[[f"a_{f}" for f in fields]].set_axis(fields, axis=1).to_dict("records")
             right = pdf[[f"b_{f}" for f in fields]].set_axis(fields, axis=1).to_dict("records")
