@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from veilspark.functions.chars import visual_decomposition
 
 #: Characters whose reading in names is confused with that of their look-alike (fixed values).
-NAME_READINGS = {"伯": "bai", "佰": "bai"}
+NAME_READINGS = {"伯": "bai", "佰": "bai", "稯": "ji", "苑": "wan", "埔": "pu"}
 
 
 def reading_tables(spark: SparkSession) -> tuple[dict[str, str], dict[str, str]]:
