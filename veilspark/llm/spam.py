@@ -6,7 +6,7 @@ gives a robust Mahalanobis distance. A document is spam when its distance is bey
 direction of spam: less prose than the bulk, most of what is not labelled head matter outside sentences, and at least one of the other
 measures on the spam side as well.
 
-Defined results: null, empty and blank texts have no measures and are never spam; texts are measured whole; a language that is not
+Defined results: rows without key, and null, empty and blank texts, have no measures and are never spam; texts are measured whole; a language that is not
 known is taken from the script. Only a handful of numbers per language, of fixed count, comes to the driver.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,35 +35,48 @@ MAINLY = 0.3
 HAN_FUNCTION = set("的了与在对为由并和将已从按据但且仍该其未至于后及是")
 LATIN_FUNCTION = set("the of and to in was is were are be on with that this by so which though as after from but it has had while at a an for or not".split())
 #: Words that only sell; a clause with one is no prose.
-_SELLING = re.compile(r"哪家好|多少钱|厂家|直销|供应商|型号大全|加盟|招商|批发|热卖|包邮|面议|优惠|代理|报价|官网|排名|现货|认准|就来看|\b(?:buy|cheap|wholesale|best price|top rated|free shipping|near me|supplier|factory|quote|in stock|order now|online|for sale)\b", re.I)
-_PIECE = re.compile(r"[^\n\r。！？!?]+(?:[。！？]|[!?](?=\s|$)|$)?|[。！？!?]", re.M)
+_SELLING_HAN = "哪家好 多少钱 厂家 直销 供应商 型号大全 加盟 招商 批发 热卖 包邮 面议 优惠 代理 报价 官网 排名 现货 认准 就来看".split()
+_SELLING_LATIN = "buy|cheap|wholesale|best price|top rated|free shipping|near me|supplier|factory|quote|in stock|order now|online|for sale".split("|")
+_SELLING = re.compile("|".join(_SELLING_HAN) + r"|\b(?:" + "|".join(_SELLING_LATIN) + r")\b", re.I)
+_ZH_SENTENCE, _EN_CLAUSE = re.compile(r"(?<=[。！？])"), re.compile(r"[\n,;.，；、|#\[\]!?]+")
 _EN_SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 _CLAUSE = re.compile(r"[\s，,。；;、|#【】\[\]！!？?.:：·•/>]{1,}")
 _WORD = re.compile(r"[a-z']+")
-_HAN = re.compile(r"[一-鿿]")
+_HAN_RUNS = re.compile("[一-鿿]+")
+_HAN_WORDS = re.compile("[" + "".join(sorted(HAN_FUNCTION)) + "]")
+#: Without one of these a text has no link.
+_LINK_SIGN = re.compile(r"//|[A-Za-z0-9]\.[A-Za-z]")
 _LINK = re.compile(r"(?:https?:)?//\S+|\b(?:[a-z0-9-]+\.){1,4}[a-z]{2,12}(?:/\S*)?", re.I)
 _SEPARATOR = re.compile(r"[|#【】\[\]\t>·•、；]|[,，] ?(?=[^,，。\n]{2,40}[,，])")
 _REFERENCE = re.compile(r"\s*\[\d+\] ")
 _LABEL = re.compile(r"^\s*[^\s：:，,。|]{1,14}(?: [^\s：:，,。|]{1,14})?[：:]\s*\S.*$")
 
 
-def measure(text: str) -> tuple[float, ...]:
+def han_count(text: str) -> int:
+    return sum(map(len, _HAN_RUNS.findall(text)))
+
+
+def measure(text: str, han: int | None = None) -> tuple[float, ...]:
     """The six measures of one text that is not blank."""
-    han = len(_HAN.findall(text))
-    zh = han * 3 > len(text) * 0.5
+    zh = (han_count(text) if han is None else han) * 3 > len(text) * 0.5
+    # Most texts have neither links nor words that sell; one look at the whole text saves one at each line.
+    low = text.lower()
+    linked = _LINK_SIGN.search(text) is not None
+    selling = any(w in text for w in _SELLING_HAN) or any(w in low for w in _SELLING_LATIN)
     total = prose = functions = words = ends = 0
     for line in text.splitlines():
         line = line.strip()
         if not line:
             continue
-        if _REFERENCE.match(line) or len(line) < 90 and _LABEL.match(line) and not _LINK.search(line) and sum(map(line.count, ",，、|")) < 2 or len(line) < 32 and sum(map(line.count, "|#【[,，、。；")) == 0 and not _SELLING.search(line) and not _LINK.search(line):
-            continue  # heads, labelled values, entries of a contents or parts list
-        parts = [p for p in re.split(r"(?<=[。！？])", line) if p] if zh else _EN_SENTENCE.split(line)
-        for p in parts:
+        n = len(line)
+        link = linked and _LINK.search(line) is not None
+        if _REFERENCE.match(line) or n < 90 and not link and _LABEL.match(line) and sum(map(line.count, ",，、|")) < 2 or n < 32 and not link and sum(map(line.count, "|#【[,，、。；")) == 0 and not (selling and _SELLING.search(line)):
+            continue  # references, heads, labelled values, entries of a contents or parts list
+        for p in [x for x in _ZH_SENTENCE.split(line) if x] if zh else _EN_SENTENCE.split(line):
             n = len(p)
             total += n
             if zh:
-                f = sum(map(HAN_FUNCTION.__contains__, p))
+                f = len(_HAN_WORDS.findall(p))
                 functions += f
                 words += n
                 good = p[-1] in "。！？；，" and f >= 0.03 * n
@@ -74,15 +86,15 @@ def measure(text: str) -> tuple[float, ...]:
                 functions += f
                 words += len(w)
                 good = p[-1] in ".!?;。" and len(w) > 3 and f >= 0.12 * len(w)
-            if good and not _SELLING.search(p):
+            if good and not (selling and _SELLING.search(p)):
                 prose += n
                 ends += 1
-    clauses = [c for c in _CLAUSE.split(text) if len(c) > 3] if zh else [c for c in re.split(r"[\n,;.，；、|#\[\]!?]+", text.lower()) if len(c) > 8]
+    clauses = [c for c in _CLAUSE.split(text) if len(c) > 3] if zh else [c for c in _EN_CLAUSE.split(low) if len(c) > 8]
     repeated = 1 - len(set(clauses)) / len(clauses) if clauses else 0.0
-    counts = np.fromiter(Counter(text).values(), float)
+    counts = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
     p = counts / counts.sum()
     n = len(text)
-    link = sum(len(m) for m in _LINK.findall(text))
+    link = sum(map(len, _LINK.findall(text))) if linked else 0
     return (
         prose / total if total >= 24 else 1.0,
         functions / words if words else 0.1,
@@ -99,11 +111,15 @@ def measures(df: DataFrame, key: str, text: str, lang: str | None = None) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(k, "zh" if _HAN.search(t) and len(_HAN.findall(t)) * 6 > len(t) else (g or "en") if g != "zh" else "en", *measure(t)) for k, t, g in zip(pdf["k"].tolist(), pdf["t"].tolist(), pdf["g"].tolist()) if t and not t.isspace()]
+            rows = []
+            for k, t, g in zip(pdf["k"].tolist(), pdf["t"].tolist(), pdf["g"].tolist()):
+                if t and not t.isspace():
+                    han = han_count(t)
+                    rows.append((k, "zh" if han * 6 > len(t) else (g or "en") if g != "zh" else "en", *measure(t, han)))
             yield pd.DataFrame(rows, columns=["k", "language", *FEATURES])
 
     picked = df.select(df[key].alias("k"), df[text].alias("t"), (df[lang] if lang else F.lit(None).cast("string")).alias("g"))
-    return picked.mapInPandas(run, f"k {kind}, language string, " + ", ".join(f"{f} double" for f in FEATURES)).withColumnRenamed("k", key)
+    return picked.filter("k is not null").mapInPandas(run, f"k {kind}, language string, " + ", ".join(f"{f} double" for f in FEATURES)).withColumnRenamed("k", key)
 
 
 def robust_distance(m: DataFrame) -> DataFrame:
