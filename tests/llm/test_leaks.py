@@ -1,6 +1,6 @@
 import random
 
-from veilspark.llm.leaks import best_passage, find_leaks, plain, running_hashes, tiles
+from veilspark.llm.leaks import best_passage, find_leaks, plain, repeating_tiles, running_hashes, tiles
 
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu amber birch cedar dune ember fjord grove heath islet knoll ledge marsh oasis plain ridge shoal thicket vale weir".split()
 
@@ -23,6 +23,17 @@ def test_tiling_by_brute_force():
         assert max((k for _, _, k in t), default=0) == (longest if longest >= 3 else 0)
 
 
+def test_repeating_texts():
+    r = random.Random(2)
+    for _ in range(40):
+        a, b = "".join(r.choice("abcd") for _ in range(60)), "".join(r.choice("abcd") for _ in range(40))
+        t = repeating_tiles(a, b, 3)
+        assert all(a[i : i + k] == b[j : j + k] for i, j, k in t) and all(p[0] + p[2] <= q[0] for p, q in zip(t, t[1:]))
+        assert max((k for _, _, k in t), default=0) == max((k for _, _, k in tiles(a, b, 3)), default=0)
+    assert tiles("x" * 50_000, "x" * 30_000, 4)[0][2] == 30_000
+    assert sum(k for _, _, k in tiles("ab" * 20_000, "ab" * 300, 4)) == 40_000
+
+
 def test_hashes_are_of_windows():
     h = running_hashes("abcdefghijabcdefghij" * 2)
     assert len(h["han"]) == 33 and len(h["other"]) == 25 and h["han"][0] == h["han"][10] and len(running_hashes("short")["han"]) == 0

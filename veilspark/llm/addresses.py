@@ -5,7 +5,7 @@ so that romanised records and misspelt homophones meet. Distinct readings are ba
 the number token in each band; candidates are verified by an affine-gap alignment of their tokens, whose substitutions know the
 abbreviations of ways and cost edits otherwise. Records of one reading are classed before banding, so copies are not compared.
 
-Defined results: null, empty and unreadable records (without number, street or town) match nothing; floors, rooms, buildings, postcodes,
+Defined results: records without key, and null, empty and unreadable ones (without number, street or town) match nothing; floors, rooms, buildings, postcodes,
 landmarks, order, case and width do not matter; a missing district or province matches any; repeated rows count once.
 """
 
@@ -220,7 +220,7 @@ def readings(df: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, *x) for k, t in zip(pdf["k"].tolist(), pdf["t"].tolist()) if (x := r.read(t)) is not None]
             yield pd.DataFrame(rows, columns=["k", *_FIELDS])
 
-    picked = df.select(df[key].alias("k"), df[text].alias("t")).filter("t is not null")
+    picked = df.select(df[key].alias("k"), df[text].alias("t")).filter("k is not null and t is not null")
     return picked.mapInPandas(run, f"k {kind}, number long, street string, way string, town string, district string, province string, script string").withColumnRenamed("k", key)
 
 
@@ -233,8 +233,8 @@ def _deletions(c: F.Column) -> F.Column:
 def respell(r: DataFrame, column: str, script: str = "latin") -> DataFrame:
     """Rare spellings of a column's tokens replaced by the most frequent one that is one slip away: a letter more, less, other or swapped.
 
-    Tokens meet on their one-letter deletions, so no token is compared with all others."""
-    counts = r.filter(F.col("script") == script).groupBy(column).count().select(F.col(column).alias("w"), F.col("count").alias("n")).filter("length(w) >= 4")
+    Tokens meet on their one-letter deletions, so no token is compared with all others; tokens of more than forty letters are no names."""
+    counts = r.filter(F.col("script") == script).groupBy(column).count().select(F.col(column).alias("w"), F.col("count").alias("n")).filter("length(w) between 4 and 40")
     keys = counts.select("w", "n", F.explode(_deletions(F.col("w"))).alias("d"))
     a, b = keys.select(F.col("w").alias("bad"), F.col("n").alias("bn"), "d"), keys.select(F.col("w").alias("good"), F.col("n").alias("gn"), "d")
     near = a.join(b, "d").filter("bad <> good and gn > 2 * bn")

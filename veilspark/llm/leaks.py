@@ -6,7 +6,7 @@ that is not yet covered is marked, again and again, down to ``LEAST`` characters
 passage; swapped words leave short gaps, reordered sentences change nothing. The item leaked when one dense passage covers at least
 a third of it; dense means that most of the passage, from its first to its last tile, is tiled; scattered phrases in another order must cover ``COVER``.
 
-Defined results: null, empty and blank texts on either side give no pair; repeated rows give one pair; documents are read whole. Items
+Defined results: rows without key, and null, empty and blank texts on either side, give no pair; repeated rows give one pair; documents are read whole. Items
 go to the workers in blocks of bounded size, each block against all documents, so any number of items can be asked for.
 """
 
@@ -30,6 +30,8 @@ DENSE = 0.74
 #: Share of the item that a passage must cover: a third where its tiles keep the item's order, else more, as texts of the same style
 #: share scattered phrases that reach a third by chance.
 COVER_ORDERED, COVER = 1 / 3, 0.4
+#: Pairs of equal windows up to which two texts are compared pair by pair.
+MANY = 1_000_000
 #: Characters of items that one block holds at most; a block's index is broadcast.
 BLOCK_CHARS = 4_000_000
 
@@ -64,11 +66,69 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
+def repeating_tiles(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
+    """Tiles of texts that repeat themselves: the longest stretch of ``a`` first, as often as ``b`` has it or not.
+
+    The longest match that ends at each place comes from the suffix automaton of ``b``, in time linear in both texts."""
+    follow, link, length, end, last = [{}], [-1], [0], [0], 0
+    for i, c in enumerate(b):
+        cur = len(follow)
+        follow.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        end.append(i)
+        p = last
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = cur
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            if length[p] + 1 == length[q]:
+                link[cur] = q
+            else:
+                new = len(follow)
+                follow.append(dict(follow[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                end.append(end[q])
+                while p >= 0 and follow[p].get(c) == q:
+                    follow[p][c] = new
+                    p = link[p]
+                link[q] = link[cur] = new
+        last = cur
+    found, state, n = [], 0, 0
+    for i, c in enumerate(a):
+        before = (n, state)
+        while state and c not in follow[state]:
+            state = link[state]
+            n = length[state]
+        if c in follow[state]:
+            state, n = follow[state][c], n + 1
+        else:
+            n = 0
+        if n <= before[0] and before[0] >= least:
+            found.append((-before[0], i - before[0], end[before[1]] - before[0] + 1))
+    if n >= least:
+        found.append((-n, len(a) - n, end[state] - n + 1))
+    covered, out = np.zeros(len(a), bool), []
+    for k, i, j in sorted(found):
+        free = np.flatnonzero(np.diff(np.concatenate([[0], ~covered[i : i - k], [0]]).astype(np.int8)))
+        for x, y in zip(free[::2].tolist(), free[1::2].tolist()):
+            if y - x >= least:
+                covered[i + x : i + y] = True
+                out.append((i + x, j + x, y - x))
+    return sorted(out)
+
+
 def tiles(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of (start in a, start in b, length): the longest stretch not yet covered first; ties in order of a, then b."""
+    """Greedy tiling of (start in a, start in b, length): the longest stretch not yet covered first; ties in order of a, then b.
+
+    Texts that share more than ``MANY`` pairs of windows repeat themselves and are tiled by ``repeating_tiles``."""
     where = defaultdict(list)
     for j in range(len(b) - least + 1):
         where[b[j : j + least]].append(j)
+    if sum(len(where.get(a[i : i + least], ())) for i in range(len(a) - least + 1)) > MANY:
+        return repeating_tiles(a, b, least)
     found = []
     for i in range(len(a) - least + 1):
         for j in where.get(a[i : i + least], ()):
@@ -176,7 +236,7 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, s
 def find_leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(doc key, item key, share): the items of which a document holds a passage; share is the cover in terms of what is needed."""
     dk, ik = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    picked = docs.select(docs[doc_key].alias("d"), docs[doc_text].alias("t"))
+    picked = docs.select(docs[doc_key].alias("d"), docs[doc_text].alias("t")).filter("d is not null")
     out = None
     for block in _blocks(items, item_key, item_text):
         ship = docs.sparkSession.sparkContext.broadcast(ItemIndex(block))

@@ -6,7 +6,7 @@ result, for texts garbled in layers. The cost of a character is its surprise und
 are bounded by the size of Unicode and so may be broadcast. A text also counts as garbled, restorable or not, when it holds
 replacement characters, C1 controls or private-use characters, which decoding errors leave behind.
 
-Defined results: null and empty texts are never garbled and come out as they are; text that only holds foreign scripts stays as it is;
+Defined results: rows without key give none; null and empty texts are never garbled and come out as they are; text that only holds foreign scripts stays as it is;
 a text of which a part can be restored comes out with that part restored.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -119,14 +120,13 @@ class GarbleModel:
             starts[at] = k
             at += len(p)
         starts[at] = len(parts)
-        out, gain, done = [], 0.0, 0
+        out, gain, done, order = [], 0.0, 0, list(starts)
         for m in _UTF8.finditer(data):
             a, b = m.span()
-            inner = [x for x in starts if a <= x <= b] if a not in starts or b not in starts else None
-            if inner is not None:
-                # The match must begin and end where characters do.
-                inner.sort()
-                fit = next(((x, y) for x in inner for y in reversed(inner) if y > x and self._whole(data[x:y])), None)
+            if a not in starts or b not in starts:
+                # The match must begin and end where characters do; a character has four bytes at most.
+                lo, hi = bisect_left(order, a), bisect_right(order, b)
+                fit = next(((x, y) for x in order[lo : min(hi, lo + 4)] for y in reversed(order[max(lo, hi - 4) : hi]) if y > x and self._whole(data[x:y])), None)
                 if fit is None:
                     continue
                 a, b = fit
@@ -247,4 +247,4 @@ def repair_columns(df: DataFrame, key: str, columns: list[str], model: GarbleMod
             yield pd.DataFrame(out, columns=["k", "field", "restored"])
 
     picked = df.select(df[key].alias("k"), *[df[c].alias(f"c{i}") for i, c in enumerate(columns)])
-    return picked.mapInPandas(run, f"k {kind}, field string, restored string").withColumnRenamed("k", key)
+    return picked.filter("k is not null").mapInPandas(run, f"k {kind}, field string, restored string").withColumnRenamed("k", key)

@@ -6,7 +6,7 @@ share is not dropped but refined with the initials of the other parts. Candidate
 common subsequence. Full names form clusters, the components of their links; a name that says less (a title, initials, a given name, an
 acronym) joins a cluster only when it fits exactly one.
 
-Defined results: null and blank names match nothing; names that look the same are the same; branches of one organisation, and legal forms
+Defined results: names without key, null and blank ones match nothing; names that look the same are the same; branches of one organisation, and legal forms
 that differ when both stand, are different; repeated rows count once. Components are found by propagating least labels in Spark, with the
 lineage cut at each round; no group is gathered in one task.
 """
@@ -60,6 +60,9 @@ def common_length(a: str, b: str) -> int:
 
 
 def ratio(a: str, b: str) -> float:
+    """Twice the common length over both lengths; parts of more than 400 letters are equal or have nothing in common."""
+    if max(len(a), len(b)) > 400:
+        return float(a == b)
     return 2 * common_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
@@ -161,6 +164,8 @@ class NameReader:
     def _field(self, s: str) -> tuple[float, str]:
         """(fit, known line of business) of an abbreviation or misspelling in ideographs."""
         best = (0.0, "")
+        if len(s) > 40:
+            return best
         for f in FIELDS:
             c = common_length(s, f)
             fit = (1.0 if s == f else 0.97 if c == len(s) >= 2 else 2 * c / (len(s) + len(f))) if s else 0.0
@@ -347,6 +352,8 @@ def suffixes(token: str) -> list[str]:
     """The suffixes of a token that are long enough to tell something, whole token included."""
     if token[0] == "=":
         return [token]
+    if len(token) > 40:  # what two tokens share at their ends beyond forty letters, they share within them
+        return [token[i:] for i in range(len(token) - 40, len(token) - 3)] + ["<" + token[:n] for n in range(5, 41)]
     least = max(LEAST_SUFFIX, min(len(token), 4))
     out = [token[i:] for i in range(0, len(token) - least + 1)]
     # A slip in the last letters leaves no suffix; the beginning stands in, as a suffix of the token read backwards.
@@ -379,7 +386,7 @@ def same_names(df: DataFrame, key: str, scope: list[str], text: str, kind: str)
     reader = spark.sparkContext.broadcast(NameReader(*reading_tables(spark)))
     fields = _PERSON if kind == "person" else _ORGANISATION
     kt = df.schema[key].dataType.simpleString()
-    scoped = df.select(F.col(key).alias("k"), F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in scope]).alias("s"), F.col(text).alias("t")).filter("t is not null").distinct()
+    scoped = df.select(F.col(key).alias("k"), F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in scope]).alias("s"), F.col(text).alias("t")).filter("k is not null and t is not null").distinct()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = reader.value

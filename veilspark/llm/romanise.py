@@ -45,11 +45,11 @@ def is_han(c: str) -> bool:
 
 
 def osa(a: str, b: str, most: int = 3) -> int:
-    """Edits with transpositions, or more than ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    """Edits with transpositions, or more than ``most``; strings of more than 400 letters are equal or far."""
     if a == b:
         return 0
+    if abs(len(a) - len(b)) > most or len(a) > 400:
+        return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]

@@ -6,7 +6,7 @@ with their frequent variants on value plus difference, in SQL, and verified by t
 correction. Lines that are page numbers by form, and short lines that interrupt running text in several blocks or twice in one, are page
 furniture. A hyphen at a line end is a cut when the joined word is attested more than the compound, or when its halves are no words.
 
-Defined results: null and empty texts have no noise and stay; mere line breaks are no noise, and repair joins them; repeated rows give one
+Defined results: rows without key give none; null and empty texts have no noise and stay; mere line breaks are no noise, and repair joins them; repeated rows give one
 result. Texts are treated whole; counts cover all rows. Corrections are looked up in a broadcast table while they are
 fewer than ``BROADCAST_ROWS``; beyond that the same tokens are joined with them by a shuffle.
 """
@@ -199,7 +199,7 @@ def hyphens(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
 
 def find_noise(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, noise): the sorts of noise in each row, of hyphen, misread, furniture."""
-    df = df.select(key, text)
+    df = df.select(key, text).filter(F.col(key).isNotNull())
     vocab = cut(vocabulary(df, text))
     t = F.col(text)
     by_form = df.filter((t.rlike("o|'") & t.rlike(_STOPS)) | t.rlike(_DIGITS)).select(key, F.lit("misread").alias("noise"))
@@ -211,7 +211,7 @@ def find_noise(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, repaired): each distinct row's text without furniture, with words whole and misread tokens replaced, its lines joined."""
-    base = df.select(key, text).filter(F.col(text).isNotNull()).dropDuplicates([key])
+    base = df.select(key, text).filter(F.col(text).isNotNull() & F.col(key).isNotNull()).dropDuplicates([key])
     vocab = cut(vocabulary(base, text))
     fix = misread(base, key, text, vocab).groupBy(key).agg(F.array_sort(F.collect_set(F.struct((-F.length("bad")).alias("n"), "bad", "good"))).alias("fix"))
     drop = furniture(base, key, text).groupBy(key).agg(F.collect_set(F.col("pos")).alias("drop"))
