@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.text import candidate_id, letters
 from veilspark.operators import audit, detect, governance, mapping, planning, redact, release, review
-from veilspark.operators.rules import DICTIONARY_PREFIX, IMPACT, RULES, SOFTENED, STRATEGIES, TECHNICAL_SIGNAL, D, S
+from veilspark.operators.rules import DICTIONARY_PREFIX, IMPACT, RULES, SOFTENED, STRATEGIES, TECHNICAL_SIGNAL, S
 from veilspark.session import load, spread
 
 QUERIES: dict = {}
