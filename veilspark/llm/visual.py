@@ -68,11 +68,13 @@ def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> Dat
     """(key, out): each row's text in one form. ``key`` must identify the rows; rows with equal keys must be equal."""
     spark, names = df.sparkSession, key
     key = [f"_k{i}" for i in range(len(names))]  # names that clash with none used below
-    base = df.select(*[F.col(f"`{n}`").alias(k) for n, k in zip(names, key)], F.translate(F.col(text), _WIDE, _ASCII).alias("_t"))
-    stable = F.col("_t").rlike(f"^[{STABLE}]*$")
+    base = df.select(*[F.col(f"`{n}`").alias(k) for n, k in zip(names, key)], F.col(text).alias("_t"))
+    # Full-width forms become stable ASCII; they are folded in either branch after the test, which reads the text as it is.
+    stable = F.col("_t").rlike(rf"^[{STABLE}！-～]*$")
+    folded = F.translate("_t", _WIDE, _ASCII)
     spaces = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    kept = base.filter(F.col("_t").isNull() | stable).select(*key, spaces(F.col("_t")).alias(out))
-    pieces = F.regexp_extract_all(F.col("_t"), F.lit(rf"(?s)[{STABLE}]+(?!\p{{M}})|."), 0)
+    kept = base.filter(F.col("_t").isNull() | stable).select(*key, spaces(folded).alias(out))
+    pieces = F.regexp_extract_all(folded, F.lit(rf"(?s)[{STABLE}]+(?!\p{{M}})|."), 0)
     changed = base.filter(~stable).dropDuplicates(key).select(*key, pieces.alias("_p"))
     x = changed.select(*key, F.posexplode("_p").alias("pos", "c"))
     x = x.join(F.broadcast(decomposition_table(spark)), "c", "left")
