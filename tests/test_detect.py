@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import clean_label_value, letters, strip
+from veilspark.functions.text import clean_label_value, letters, strip, two_decimals
 from veilspark.operators import detect
 from veilspark.operators.rules import RULES
 
@@ -77,3 +77,9 @@ def test_body_before_channels(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "project_id string, n int, text string")
     assert detect.detect(df, ["project_id"], "n", "text").count() == 0
+
+
+def test_two_decimals(spark):
+    values = [i / 1000 for i in range(0, 1001)] + [0.375, 0.125, 0.3649999, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(two_decimals(F.col("v"))).collect()] == [f"{v:.2f}" for v in values]

@@ -41,3 +41,14 @@ def candidate_id(kind: Column, original: Column) -> Column:
 
 def ascii_digits(c: Column) -> Column:
     return F.translate(c, _DIGITS, "0123456789")
+
+
+def two_decimals(x: Column) -> Column:
+    """A small double with two decimals, rounded by its exact binary value, ties to even; the formatter rounds its shortest decimal instead."""
+    p = x * 100
+    f = F.floor(p)
+    split = x * F.lit(134217729.0)
+    high = split - (split - x)
+    error = (high * 100 - p) + (x - high) * 100  # what the product lost, exactly
+    tie = (p - f) == 0.5
+    return F.format_string("%.2f", F.when(tie & (error < 0), f.cast("double")).when(tie & (error > 0), f + 1.0).otherwise(F.rint(p)) / 100)

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.text import two_decimals
+
 PROCESSABLE = [".docx", ".xlsx", ".pdf", ".txt", ".md"]
 CONVERTIBLE = [".doc", ".xls", ".wps"]
 SKIPPED = [".zip", ".rar", ".7z", ".db", ".json", ".jpg", ".jpeg", ".png"]
@@ -56,7 +58,7 @@ def ocr_pages(mode: Column, default: int = 5) -> Column:
 
 def ocr_warnings(status: Column, confidence: Column, threshold: float = 0.5) -> Column:
     """The warnings that reading by recognition adds to a file."""
-    low = F.when(confidence < threshold, F.concat(F.lit("ocr_low_confidence:"), F.format_string("%.2f", confidence)))
+    low = F.when(confidence < threshold, F.concat(F.lit("ocr_low_confidence:"), two_decimals(confidence)))
     return F.when(status == "ok", F.array_compact(F.array(F.lit("ocr_applied"), low))).otherwise(F.array().cast("array<string>"))
 
 
