@@ -66,6 +66,28 @@ def test_letters(spark):
     assert {r["n"]: r["s"] for r in df.select("n", letters(F.col("n")).alias("s")).collect()} == want
 
 
+def test_letters_of_any_length(spark):
+    def word(n):
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    want = {n: word(n) for m in range(1, 14) for s in [sum(26**i for i in range(1, m + 1))] for n in (s - 1, s, s + 1)} | {2**63 - 1: word(2**63 - 1), 475254: "ZZZZ", 475255: "AAAAA"}
+    df = spark.createDataFrame([(n,) for n in want], "n long")
+    assert {r["n"]: r["s"] for r in df.select("n", letters(F.col("n")).alias("s")).collect()} == want
+    assert spark.sql("select cast(null as int) n").select(letters(F.col("n"))).first()[0] is None
+
+
+def test_all_numbers_come_out_as_letters(spark, tmp_path):
+    from veilspark.plans import registry
+
+    spark.createDataFrame([(17999,), (18000,), (18001,), (38110,), (1000000,)], "ord int").write.parquet(f"{tmp_path}/entities.parquet")
+    got = {r["n"]: r["letters"] for r in registry.queries()["placeholder_letters"](spark, str(tmp_path)).collect()}
+    assert got == {18000: "ZPH", 18001: "ZPI", 18002: "ZPJ", 38111: "BDIU", 1000001: "BDWGO"}
+
+
 def test_body_before_channels(spark):
     cols = "p string, kind string, original string, placeholder_prefix string, strategy string, replacement_hint string"
     body = spark.createDataFrame([("p", "phone", "1", "电话", "mask", None), ("p", "email", "abc", "邮箱", "mask", None)], cols)

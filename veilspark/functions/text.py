@@ -21,17 +21,14 @@ def clean_label_value(c: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA: bijective base 26, for numbers up to four letters."""
-    k = n.cast("bigint") - 1
-    at = lambda x: F.char(65 + x)
-    one, two, three = at(k), k - 26, k - 702
-    four = k - 18278
-    return (
-        F.when(n <= 26, one)
-        .when(n <= 702, F.concat(at(F.floor(two / 26)), at(two % 26)))
-        .when(n <= 18278, F.concat(at(F.floor(three / 676)), at(F.floor(three / 26) % 26), at(three % 26)))
-        .otherwise(F.concat(at(F.floor(four / 17576)), at(F.floor(four / 676) % 26), at(F.floor(four / 26) % 26), at(four % 26)))
-    )
+    """1 -> A, 26 -> Z, 27 -> AA: bijective base 26, for every positive bigint."""
+    k, most = n.cast("bigint") - 1, 14
+    first = [sum(26**i for i in range(1, m)) for m in range(1, most + 1)]  # k of the first number with m letters
+    with_letters = lambda m: F.translate(F.lpad(F.conv((k - first[m - 1]).cast("string"), 10, 26), m, "0"), "0123456789ABCDEFGHIJKLMNOP", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    out = F.when(k < first[1], with_letters(1))
+    for m in range(2, most):
+        out = out.when(k < first[m], with_letters(m))
+    return out.otherwise(with_letters(most))
 
 
 def candidate_id(kind: Column, original: Column) -> Column:

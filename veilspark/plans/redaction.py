@@ -214,8 +214,8 @@ def placeholder_prefixes(spark, d):
 
 @query("placeholder_letters", f"SELECT n, {sql_letters('n')} AS letters FROM (SELECT DISTINCT ord + 1 AS n FROM entities WHERE ord BETWEEN 0 AND 18000)")
 def placeholder_letters(spark, d):
-    """Sequence numbers as letters."""
-    return load(spark, d, "entities").filter("ord between 0 and 18000").select((F.col("ord") + 1).alias("n")).distinct().select("n", letters(F.col("n")).alias("letters"))
+    """Sequence numbers as letters; the SQL knows three letters and stops at 18000, this does not."""
+    return load(spark, d, "entities").filter("ord >= 0").select((F.col("ord") + 1).alias("n")).distinct().select("n", letters(F.col("n")).alias("letters"))
 
 
 @query("mapping_merge")
