@@ -39,3 +39,12 @@ def test_pairs(spark):
 
 def test_empty(spark):
     assert same_looks(spark.createDataFrame([], "k int, s string, t string, raw string, form string"), "k", ["s"], "t").count() == 0
+
+
+def test_forms_of_both_fields(spark, tmp_path):
+    from veilspark.llm.registry import queries
+
+    spark.createDataFrame([(1, "ＡＢ"), (1, "ＡＢ"), (2, None), (3, "Хаｒоm")], "entity_id long, original string").write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame([(1, "АВ"), (2, ""), (3, "甲　乙"), (3, "甲　乙"), (4, None), (5, "é"), (5, "x")], "block_key long, text string").write.parquet(f"{tmp_path}/redacted_text_blocks.parquet")
+    got = sorted((r["field"], r["key"], r["form"]) for r in queries()["p1_forms"](spark, str(tmp_path)).collect())
+    assert got == [("original", 1, "AB"), ("original", 3, "Xarom"), ("text", 1, "AB"), ("text", 2, ""), ("text", 3, "甲 乙"), ("text", 5, "x"), ("text", 5, "é")]

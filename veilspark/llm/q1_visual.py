@@ -16,9 +16,11 @@ def p1_found(spark, sf_dir):
 
 
 def p1_forms(spark, sf_dir):
-    """Every entity's value in one form."""
-    e = load(spark, sf_dir, "entities").select("entity_id", "original").filter("original is not null").dropDuplicates(["entity_id"])
-    return one_form(e, ["entity_id"], "original")
+    """Every value of either field in one form; a key with several values has a row for each form."""
+    e = load(spark, sf_dir, "entities").select(F.lit("original").alias("field"), F.col("entity_id").alias("key"), F.col("original").alias("t"))
+    b = spread(load(spark, sf_dir, "redacted_text_blocks").select(F.lit("text").alias("field"), F.col("block_key").alias("key"), F.col("text").alias("t")))
+    values = e.unionByName(b).filter("key is not null and t is not null").withColumn("raw", F.unhex(F.md5("t")))
+    return one_form(values, ["field", "key", "raw"], "t").select("field", "key", "form").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms}
