@@ -25,3 +25,13 @@ def test_measures():
     assert measure("一二三。")[0] == 1.0 and len(measure("x")) == 6
     assert measure("The work was done in the plant by the team. " * 200)[0] > 0.9
     assert measure("buy cheap pumps, " * 200)[0] == 0.0
+
+
+def test_repeated_short_lines_are_keywords(spark):
+    r = random.Random(2)
+    rows = [(i, prose(r), "zh") for i in range(300)]
+    rows += [(1000, "低温电解液制备数据集\n" * 100, "zh"), (1001, prose(r)[:60] + "。\n" + "低温电解液制备数据集\n桥梁应力反演数据集\n" * 40, "zh"), (1002, "\n".join(f"第{i}章 监控平台建设" for i in range(40)) + "\n" + prose(r), "zh")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"] for x in find_spam(df, "doc_id", "text", "lang").filter("spam").collect()}
+    assert got == {1000, 1001}
+    assert measure("低温电解液制备数据集\n" * 2 + "低温电解液\n" * 2)[0] == 1.0

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,14 +65,15 @@ def measure(text: str, han: int | None = None) -> tuple[float, ...]:
     linked = _LINK_SIGN.search(text) is not None
     selling = any(w in text for w in _SELLING_HAN) or any(w in low for w in _SELLING_LATIN)
     total = prose = functions = words = ends = 0
-    for line in text.splitlines():
-        line = line.strip()
+    lines = [line.strip() for line in text.splitlines()]
+    times = Counter(lines)
+    for line in lines:
         if not line:
             continue
         n = len(line)
         link = linked and _LINK.search(line) is not None
-        if _REFERENCE.match(line) or n < 90 and not link and _LABEL.match(line) and sum(map(line.count, ",，、|")) < 2 or n < 32 and not link and sum(map(line.count, "|#【[,，、。；")) == 0 and not (selling and _SELLING.search(line)):
-            continue  # references, heads, labelled values, entries of a contents or parts list
+        if _REFERENCE.match(line) or n < 90 and not link and _LABEL.match(line) and sum(map(line.count, ",，、|")) < 2 or n < 32 and times[line] < 3 and not link and sum(map(line.count, "|#【[,，、。；")) == 0 and not (selling and _SELLING.search(line)):
+            continue  # references, heads, labelled values, entries of a contents or parts list, which do not repeat as keywords do
         for p in [x for x in _ZH_SENTENCE.split(line) if x] if zh else _EN_SENTENCE.split(line):
             n = len(p)
             total += n
