@@ -48,3 +48,12 @@ def test_forms_of_both_fields(spark, tmp_path):
     spark.createDataFrame([(1, "АВ"), (2, ""), (3, "甲　乙"), (3, "甲　乙"), (4, None), (5, "é"), (5, "x")], "block_key long, text string").write.parquet(f"{tmp_path}/redacted_text_blocks.parquet")
     got = sorted((r["field"], r["key"], r["form"]) for r in queries()["p1_forms"](spark, str(tmp_path)).collect())
     assert got == [("original", 1, "AB"), ("original", 3, "Xarom"), ("text", 1, "AB"), ("text", 2, ""), ("text", 3, "甲 乙"), ("text", 5, "x"), ("text", 5, "é")]
+
+
+HIDDEN = ["葛\U000e0100城", "ab\U000e0041\U000e007f", "abe\u200b\u0301", "甲乙e\u2060\U000e01ef\u0301x", "\u200b\U000e0100", "\U0001d173a"]
+
+
+def test_characters_that_show_nothing_vanish_before_the_cut(spark):
+    df = spark.createDataFrame(list(enumerate(HIDDEN)), "k int, t string")
+    got = {r["k"]: r["form"] for r in one_form(df, ["k"], "t").collect()}
+    assert got == {0: "葛城", 1: "ab", 2: "abé", 3: "甲乙éx", 4: "", 5: "a"} == {i: plain(t) for i, t in enumerate(HIDDEN)}

@@ -28,6 +28,8 @@ _SHOW_NOTHING = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160),
 
 #: A Java and RE2 class of the same characters in the basic plane.
 INVISIBLE_CLASS = r"[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]"
+#: A Java class of all of them.
+ALL_INVISIBLE_CLASS = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _SHOW_NOTHING) + "]"
 SPACE_CLASS = r"[\s\u0085   -     　]"
 
 
@@ -55,8 +57,8 @@ def visual_decomposition(c: str) -> str:
     return "".join(out)
 
 
-def code_points() -> range:
-    return range(0x80, 0x30000)
+def code_points() -> list[int]:
+    return [*range(0x80, 0x30000), *range(0xE0000, 0xE1000)]
 
 
 @lru_cache(maxsize=1)

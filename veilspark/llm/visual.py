@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.chars import code_points, decomposition_rows
+from veilspark.functions.chars import ALL_INVISIBLE_CLASS, code_points, decomposition_rows
 from veilspark.session import cut
 
 #: Characters without decomposition, look-alike or combining class; a regular expression's class, checked against the tables in the tests.
@@ -74,9 +74,10 @@ def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> Dat
     folded = F.translate("_t", _WIDE, _ASCII)
     spaces = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     kept = base.filter(F.col("_t").isNull() | stable).select(*key, spaces(folded).alias(out))
-    pieces = F.regexp_extract_all(folded, F.lit(rf"(?s)[{STABLE}]+(?!\p{{M}})|."), 0)
+    shown = F.regexp_replace(folded, ALL_INVISIBLE_CLASS, "")  # before the cut: a mark may belong to a letter beyond them
+    pieces = F.regexp_extract_all(shown, F.lit(rf"(?s)[{STABLE}]+(?!\p{{M}})|."), 0)
     changed = base.filter(~stable).dropDuplicates(key).select(*key, pieces.alias("_p"))
-    x = changed.select(*key, F.posexplode("_p").alias("pos", "c"))
+    x = changed.select(*key, F.posexplode_outer("_p").alias("pos", "c"))
     x = x.join(F.broadcast(decomposition_table(spark)), "c", "left")
     x = x.select(*key, "pos", F.when(F.length("c") > 1, F.array("c")).when(F.col("d").isNull(), F.array("c")).otherwise(F.filter(F.split("d", ""), lambda y: y != "")).alias("_s"))
     x = x.select(*key, "pos", F.posexplode_outer("_s").alias("sub", "s"))
