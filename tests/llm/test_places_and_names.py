@@ -85,3 +85,12 @@ def test_common_suffixes_are_refined_not_dropped(spark, monkeypatch):
 def test_parts():
     assert osa("abcd", "acbd") == 1 and osa("abc", "xyz", 1) == 2 and common_length("abcd", "acxd") == 3
     assert suffixes("=abc") == ["=abc"] and "stone" in suffixes("whetstone") and "<whetst" in suffixes("whetstone")
+
+
+def test_parts_of_any_length_are_compared():
+    from veilspark.llm.names import ratio
+
+    long = "tangming " * 60
+    slip = long[:270] + "x" + long[271:]
+    assert ratio(long, slip) == 2 * 539 / 1080 and ratio(long, long) == 1.0 and ratio("", "") == 0.0
+    assert osa(long, slip, 2) == 1 and osa(long, slip[:100] + slip[101:], 2) == 2 and osa(long, "y" * 540, 2) == 3

@@ -45,20 +45,22 @@ def is_han(c: str) -> bool:
 
 
 def osa(a: str, b: str, most: int = 3) -> int:
-    """Edits with transpositions, or more than ``most``; strings of more than 400 letters are equal or far."""
+    """Edits with transpositions, or more than ``most``; only a band of that width about the diagonal is computed."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most or len(a) > 400:
+    if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    far = most + 1
+    before, row = None, {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+        new = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            v = min(row.get(j, far) + 1, new.get(j - 1, far) + 1, row.get(j - 1, far) + (x != y))
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
+                v = min(v, before.get(j - 2, far) + 1)
+            new[j] = v
         before, row = row, new
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+        if min(row.values(), default=far) > most:
+            return far
+    return row[len(b)]
