@@ -22,9 +22,13 @@ def test_spam(spark):
 
 
 def test_measures():
-    assert measure("一二三。")[0] == 1.0 and len(measure("x")) == 6
+    assert measure("一二的三。")[0] == 1.0 and len(measure("x")) == 5 and measure("\ud800")[2] == 0.0
     assert measure("The work was done in the plant by the team. " * 200)[0] > 0.9
-    assert measure("buy cheap pumps, " * 200)[0] == 0.0
+    assert measure("buy cheap pumps, " * 200)[0] == 0.0 and measure("buy cheap pumps, " * 200)[2] > 0.95
+    # Long texts are measured like short ones.
+    r = random.Random(3)
+    short, long = measure("".join(map(prose, [r] * 10))), measure("".join(map(prose, [r] * 1000)))
+    assert max(abs(a - b) for a, b in zip(short, long)) < 0.1
 
 
 def test_repeated_short_lines_are_keywords(spark):
@@ -34,4 +38,19 @@ def test_repeated_short_lines_are_keywords(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {x["doc_id"] for x in find_spam(df, "doc_id", "text", "lang").filter("spam").collect()}
     assert got == {1000, 1001}
-    assert measure("低温电解液制备数据集\n" * 2 + "低温电解液\n" * 2)[0] == 1.0
+
+
+def test_the_distance_decides(spark):
+    """Keywords without any word that sells, and without separators, are as far from prose as others."""
+    r = random.Random(4)
+    names = [a + b for a in ("电解液", "反应堆", "绝缘子", "变压器") for b in ("数据集", "评估", "样机", "台架")]
+    rows = [(i, prose(r), "zh") for i in range(200)] + [(1000, " ".join(r.choice(names) for _ in range(90)), "zh"), (1001, prose(r) + "\n" + " ".join(names[:4]), "zh")]
+    x = {y["doc_id"]: y for y in find_spam(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()}
+    assert x[1000]["spam"] and x[1000]["d2"] > 144 and not x[1001]["spam"]
+
+
+def test_a_third_of_spam_does_not_move_the_bulk(spark):
+    r = random.Random(5)
+    rows = [(i, prose(r), "zh") for i in range(200)] + [(1000 + i, f"泵{i}现货 | 阀{i}热卖 | " * 20, "zh") for i in range(100)] + [(1, None, None)]
+    got = {x["doc_id"] for x in find_spam(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").filter("spam").collect()}
+    assert got == {1000 + i for i in range(100)}
