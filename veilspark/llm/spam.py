@@ -79,7 +79,13 @@ def _repetition(text: str, zh: bool) -> float:
     while width < WINDOW[zh]:
         h = h[:-width] * np.uint64(base) + h[width:] if len(h) > width else h[:0]
         width, base = 2 * width, base * base & 0xFFFFFFFFFFFFFFFF
-    return 1 - sum(len(np.unique(x)) for x in _stretches(h, STRETCH[zh])) / len(h) if len(h) else 0.0
+    if not len(h):
+        return 0.0
+    again = 0
+    for x in _stretches(h, STRETCH[zh]):
+        x = np.sort(x)
+        again += int(np.count_nonzero(x[1:] == x[:-1]))
+    return again / len(h)
 
 
 def _entropy(text: str, zh: bool) -> float:
@@ -115,7 +121,7 @@ def measure(text: str, han: int | None = None) -> tuple[float, ...]:
             else:
                 w = _WORD.findall(p.lower())
                 f = sum(map(LATIN_FUNCTION.__contains__, w)) / len(w) if w else 0.0
-            links = sum(map(len, _LINK.findall(p))) if linked else 0
+            links = sum(map(len, _LINK.findall(p))) if linked and _LINK_SIGN.search(p) else 0
             total += n
             dense += n * (p[-1] in _ENDS and f > SENTENCE[zh])
             parted += n * math.log2((len(_SEPARATOR.findall(p)) + 0.3 * links) / n + 0.01)
