@@ -1,6 +1,6 @@
 import random
 
-from veilspark.llm.leaks import best_passage, find_leaks, plain, repeating_tiles, running_hashes, tiles
+from veilspark.llm.leaks import best_passage, find_leaks, plain, running_hashes, tiles, tiles_by_length
 
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu amber birch cedar dune ember fjord grove heath islet knoll ledge marsh oasis plain ridge shoal thicket vale weir".split()
 
@@ -25,13 +25,12 @@ def test_tiling_by_brute_force():
 
 def test_repeating_texts():
     r = random.Random(2)
-    for _ in range(40):
-        a, b = "".join(r.choice("abcd") for _ in range(60)), "".join(r.choice("abcd") for _ in range(40))
-        t = repeating_tiles(a, b, 3)
-        assert all(a[i : i + k] == b[j : j + k] for i, j, k in t) and all(p[0] + p[2] <= q[0] for p, q in zip(t, t[1:]))
-        assert max((k for _, _, k in t), default=0) == max((k for _, _, k in tiles(a, b, 3)), default=0)
-    assert tiles("x" * 50_000, "x" * 30_000, 4)[0][2] == 30_000
-    assert sum(k for _, _, k in tiles("ab" * 20_000, "ab" * 300, 4)) == 40_000
+    for n in range(200):
+        letters = "ab" if n % 2 else "abcd"
+        a, b = "".join(r.choice(letters) for _ in range(r.randrange(80))), "".join(r.choice(letters) for _ in range(r.randrange(50)))
+        assert tiles(a, b, 3) == tiles_by_length(a, b, 3)
+    assert tiles("x" * 50_000, "x" * 30_000, 4) == [(0, 0, 30_000)]
+    assert sum(k for _, _, k in tiles("ab" * 20_000, "ab" * 300, 4)) == 600
 
 
 def test_hashes_are_of_windows():
@@ -40,8 +39,20 @@ def test_hashes_are_of_windows():
 
 
 def test_passage():
-    assert best_passage([(0, 0, 10), (12, 50, 10), (100, 20, 30)], 5) == 30
-    assert best_passage([(0, 0, 10), (12, 50, 10)], 5) == 20 and best_passage([(0, 0, 10), (12, 50, 10)], 5, True) == 10
+    t = [(0, 0, 10), (12, 50, 10), (100, 20, 30)]
+    assert best_passage(t, 5, 90) == 1 and best_passage(t[:2], 5, 60) == 1 and best_passage(t[:2], 5, 60, ordered=True) == 0.5
+    assert best_passage(t[:2], 5, 60, lambda j, k: 0.07) == 0.5
+
+
+def test_a_third_in_any_order(spark):
+    r = random.Random(5)
+    items = [(n, ". ".join(" ".join(r.choice(WORDS) + r.choice(["", "s", "ed", "ing"]) for _ in range(8)) for _ in range(12))) for n in range(40)]
+    docs = []
+    for n, t in items:
+        parts = t.split(". ")[3:8]
+        docs.append((n, f"{item(100 + n)} {'. '.join(reversed(parts))} {item(200 + n)}"))
+    got = {(x["doc_id"], x["item_id"]) for x in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()}
+    assert len(got & {(n, n) for n in range(40)}) >= 36 and len(got) <= 40
 
 
 def test_leaks(spark):

@@ -4,7 +4,9 @@ Texts are compared without case, width, spacing, line breaks and punctuation. A
 ``SEED`` characters, found by running Karp-Rabin hashes against a bitmap of all items' windows) are tiled: the longest common stretch
 that is not yet covered is marked, again and again, down to ``LEAST`` characters. Tiles that lie close together in the document form a
 passage; swapped words leave short gaps, reordered sentences change nothing. The item leaked when one dense passage covers at least
-a third of it; dense means that most of the passage, from its first to its last tile, is tiled; scattered phrases in another order must cover ``COVER``.
+a third of it; dense means that most of the passage, from its first to its last tile, is tiled. Tiles that keep the item's order are enough;
+in another order, texts of the same style reach a third by phrases that many items share, so the passage must hold its part of what tells
+the item from others as well: each window of the item counts by its rarity among the items.
 
 Defined results: rows without key, and null, empty and blank texts on either side, give no pair; repeated rows give one pair; documents are read whole. Items
 go to the workers in blocks of bounded size, each block against all documents, so any number of items can be asked for.
@@ -12,6 +14,7 @@ go to the workers in blocks of bounded size, each block against all documents, s
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -27,11 +30,10 @@ SEED = {"han": 8, "other": 16}
 LEAST = {"han": 4, "other": 9}
 GAP = {"han": 14, "other": 36}
 DENSE = 0.74
-#: Share of the item that a passage must cover: a third where its tiles keep the item's order, else more, as texts of the same style
-#: share scattered phrases that reach a third by chance.
-COVER_ORDERED, COVER = 1 / 3, 0.4
-#: Pairs of equal windows up to which two texts are compared pair by pair.
-MANY = 1_000_000
+#: Share of the item that a passage must cover, and share of the item's information that it must hold where its tiles leave the order.
+COVER, INFORMATION = 1 / 3, 0.28
+#: Pairs of equal windows from which tiles are searched by length; the tiles are the same.
+MANY = 20_000
 #: Characters of items that one block holds at most; a block's index is broadcast.
 BLOCK_CHARS = 4_000_000
 
@@ -66,69 +68,64 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def repeating_tiles(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """Tiles of texts that repeat themselves: the longest stretch of ``a`` first, as often as ``b`` has it or not.
-
-    The longest match that ends at each place comes from the suffix automaton of ``b``, in time linear in both texts."""
-    follow, link, length, end, last = [{}], [-1], [0], [0], 0
-    for i, c in enumerate(b):
-        cur = len(follow)
-        follow.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        end.append(i)
-        p = last
-        while p >= 0 and c not in follow[p]:
-            follow[p][c] = cur
-            p = link[p]
-        if p >= 0:
-            q = follow[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
-            else:
-                new = len(follow)
-                follow.append(dict(follow[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                end.append(end[q])
-                while p >= 0 and follow[p].get(c) == q:
-                    follow[p][c] = new
-                    p = link[p]
-                link[q] = link[cur] = new
-        last = cur
-    found, state, n = [], 0, 0
-    for i, c in enumerate(a):
-        before = (n, state)
-        while state and c not in follow[state]:
-            state = link[state]
-            n = length[state]
-        if c in follow[state]:
-            state, n = follow[state][c], n + 1
-        else:
-            n = 0
-        if n <= before[0] and before[0] >= least:
-            found.append((-before[0], i - before[0], end[before[1]] - before[0] + 1))
-    if n >= least:
-        found.append((-n, len(a) - n, end[state] - n + 1))
-    covered, out = np.zeros(len(a), bool), []
-    for k, i, j in sorted(found):
-        free = np.flatnonzero(np.diff(np.concatenate([[0], ~covered[i : i - k], [0]]).astype(np.int8)))
-        for x, y in zip(free[::2].tolist(), free[1::2].tolist()):
-            if y - x >= least:
-                covered[i + x : i + y] = True
-                out.append((i + x, j + x, y - x))
+def _prefix_sums(s: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which the hash of any window follows, in the ring of 64 bits, and the inverse powers that go with them."""
+    c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    power, inverse = np.full(len(c) + 1, _BASE, np.uint64), np.full(len(c) + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    power[0] = inverse[0] = 1
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * np.cumprod(power)[:-1])]), np.cumprod(inverse)
+
+
+def _free_windows(sums: tuple[np.ndarray, np.ndarray], covered: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the windows of ``n`` characters none of which is covered."""
+    total, inverse = sums
+    marks = np.concatenate([[0], np.cumsum(covered)])
+    at = np.flatnonzero(marks[n:] == marks[:-n])
+    return at, (total[at + n] - total[at]) * inverse[at]
+
+
+def tiles_by_length(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
+    """The tiles of ``tiles``, for texts that repeat themselves: the greatest length with a match is searched by halves, its matches are marked."""
+    sa, sb = _prefix_sums(a), _prefix_sums(b)
+    ca, cb, out, most = np.zeros(len(a), bool), np.zeros(len(b), bool), [], min(len(a), len(b))
+
+    def matches(n: int):
+        (i, h), (j, g) = _free_windows(sa, ca, n), _free_windows(sb, cb, n)
+        keep = np.isin(h, g)
+        return i[keep], h[keep], j, g
+
+    while most >= least:
+        lo, hi = least - 1, most
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(matches(mid)[0]) else (lo, mid - 1)
+        if lo < least:
+            break
+        i, h, j, g = matches(lo)
+        where: dict[int, list[int]] = defaultdict(list)
+        for x, y in zip(j[::-1].tolist(), g[::-1].tolist()):
+            where[y].append(x)
+        end = 0
+        for x, y in zip(i.tolist(), h.tolist()):
+            js = where[y]
+            while js and cb[js[-1] : js[-1] + lo].any():
+                js.pop()
+            if x >= end and js:
+                z = js.pop()
+                ca[x : x + lo] = cb[z : z + lo] = True
+                out.append((x, z, lo))
+                end = x + lo
+        most = lo - 1
     return sorted(out)
 
 
 def tiles(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of (start in a, start in b, length): the longest stretch not yet covered first; ties in order of a, then b.
-
-    Texts that share more than ``MANY`` pairs of windows repeat themselves and are tiled by ``repeating_tiles``."""
+    """Greedy tiling of (start in a, start in b, length): the longest stretch not yet covered in either text first; ties in order of a, then b."""
     where = defaultdict(list)
     for j in range(len(b) - least + 1):
         where[b[j : j + least]].append(j)
     if sum(len(where.get(a[i : i + least], ())) for i in range(len(a) - least + 1)) > MANY:
-        return repeating_tiles(a, b, least)
+        return tiles_by_length(a, b, least)
     found = []
     for i in range(len(a) - least + 1):
         for j in where.get(a[i : i + least], ()):
@@ -141,11 +138,13 @@ def tiles(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
     found.sort()
     ca, cb, out = np.zeros(len(a), bool), np.zeros(len(b), bool), []
     while found:
-        later = []
+        later, length = [], found[0][0]
         for n, i, j in found:
             k = -n
             free = ~(ca[i : i + k] | cb[j : j + k])
-            if free.all():
+            if n != length:
+                later.append((n, i, j))
+            elif free.all():
                 ca[i : i + k] = cb[j : j + k] = True
                 out.append((i, j, k))
             else:  # the parts that are left compete again
@@ -155,18 +154,20 @@ def tiles(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def best_passage(t: list[tuple[int, int, int]], gap: int, ordered: bool = False) -> int:
-    """Tiled characters of the best passage that is dense and has no wide gaps; with ``ordered``, of one that keeps the item's order."""
-    best, n = 0, len(t)
+def best_passage(t: list[tuple[int, int, int]], gap: int, size: float, told=None, ordered: bool = False) -> float:
+    """How well the best passage that is dense and has no wide gaps does what is needed, 1 being enough: cover of ``size`` characters, and,
+    where ``told`` gives the information of a stretch of the item, its part of that. With ``ordered``, passages keep the item's order."""
+    best, n = 0.0, len(t)
     for x in range(n):
-        covered, last, at = 0, t[x][0], t[x][1]
+        covered, held, last, at = 0, 0.0, t[x][0], t[x][1]
         for y in range(x, n):
             i, j, k = t[y]
             if i - last > gap or ordered and not -2 <= j - at <= gap:
                 break
             covered, last, at = covered + k, i + k, j + k
-            if covered > best and covered >= DENSE * (last - t[x][0]):
-                best = covered
+            held += told(j, k) if told else 0.0
+            if covered >= DENSE * (last - t[x][0]):
+                best = max(best, min(covered / (COVER * size), held / INFORMATION) if told else covered / (COVER * size))
     return best
 
 
@@ -185,6 +186,26 @@ class ItemIndex:
             for x in h.tolist():
                 posted[self.kind[k]][x].add(k)
         self.posted = {g: {x: tuple(v) for x, v in p.items()} for g, p in posted.items()}
+        self.told = {k: w for g in SEED for k, w in self._rarities(g).items()}
+
+    def _rarities(self, g: str) -> dict[int, np.ndarray]:
+        """Running sums of the rarity of each item's least windows among the items, as shares of their total."""
+        of = {k: _free_windows(_prefix_sums(s), np.zeros(len(s), bool), LEAST[g])[1] for k, s in self.text.items() if self.kind[k] == g and len(s) >= LEAST[g]}
+        if not of:
+            return {}
+        known, times = np.unique(np.concatenate([np.unique(h) for h in of.values()]), return_counts=True)
+        rare = 1 - np.log(times) / math.log(max(2, len(of)))
+        out = {}
+        for k, h in of.items():
+            w = np.concatenate([[0.0], np.cumsum(rare[np.searchsorted(known, h)])])
+            # A stretch counts by the mean of its windows; where all windows are shared by all items, all count alike.
+            out[k] = w / w[-1] * len(h) if w[-1] > 0 else np.arange(len(h) + 1.0)
+        return out
+
+    def part(self, k: int, start: int, length: int) -> float:
+        """Share of item ``k``'s information in a stretch of it."""
+        w, m = self.told[k], length - LEAST[self.kind[k]] + 1
+        return float(w[start + m] - w[start]) / m * length / len(self.text[k])
 
     def leaks(self, text: str) -> list[tuple[int, float]]:
         """(item, cover by the best passage in terms of what is needed) of the items that leaked."""
@@ -204,17 +225,17 @@ class ItemIndex:
             if len(ps) < 0.07 * len(item):
                 continue
             # Stretches of the document around seeds, each at most as far from the next as the item is long.
-            reach, best = len(item) + GAP[g], 0
+            reach, best = len(item) + GAP[g], 0.0
             a = 0
             for z in range(1, len(ps) + 1):
                 if z == len(ps) or ps[z] - ps[z - 1] > reach:
                     if z - a >= 0.07 * len(item):
                         lo, hi = max(0, ps[a] - GAP[g]), ps[z - 1] + SEED[g] + GAP[g]
                         t = tiles(s[lo:hi], item, LEAST[g])
-                        best = max(best, best_passage(t, GAP[g]) / COVER, best_passage(t, GAP[g], True) / COVER_ORDERED)
+                        best = max(best, best_passage(t, GAP[g], len(item), ordered=True), best_passage(t, GAP[g], len(item), lambda j, n, k=k: self.part(k, j, n)))
                     a = z
-            if best >= len(item):
-                out.append((k, best / len(item)))
+            if best >= 1:
+                out.append((k, best))
         for k in self.short:
             if self.text[k] in s:
                 out.append((k, 2.5))
