@@ -52,3 +52,13 @@ def test_frame(spark):
     flags = sorted(tuple(r) for r in repair_columns(df, "block_key", ["text", "source_file"], restore=False).select("block_key", "field").distinct().collect())
     assert flags == [(900, "text"), (901, "source_file")]
     assert repair_columns(df.limit(0), "block_key", ["text"], fit_model(df, ["text"])).count() == 0
+
+
+@pytest.mark.parametrize("layers", [1, 2, 3, 4, 5, 6])
+@pytest.mark.parametrize("wrong", ["latin-1", "mac_roman", "cp437"])
+def test_any_number_of_layers(model, wrong, layers):
+    text = CLEAN[0][:16]
+    bad = text
+    for _ in range(layers):
+        bad = bad.encode("utf-8").decode(wrong)
+    assert model.repair(bad) == (True, text)

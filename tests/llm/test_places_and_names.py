@@ -94,3 +94,20 @@ def test_parts_of_any_length_are_compared():
     slip = long[:270] + "x" + long[271:]
     assert ratio(long, slip) == 2 * 539 / 1080 and ratio(long, long) == 1.0 and ratio("", "") == 0.0
     assert osa(long, slip, 2) == 1 and osa(long, slip[:100] + slip[101:], 2) == 2 and osa(long, "y" * 540, 2) == 3
+
+
+def test_long_tokens_are_respelled(spark):
+    from veilspark.llm.addresses import respell
+
+    for n in (12, 39, 40, 41, 42, 60, 500):
+        good = ("abcdefghijklmnopqrstuvwxy" * 30)[:n]
+        bad = [good[:5] + "z" + good[6:], good[:-3] + good[-2:], good[: n // 2] + "z" + good[n // 2 :], good[:2] + good[3] + good[2] + good[4:]]
+        df = spark.createDataFrame([(good, "latin")] * 9 + [(b, "latin") for b in bad], "street string, script string")
+        assert {r["street"] for r in respell(df, "street").collect()} == {good}, n
+
+
+def test_copies_of_a_hot_project_are_compared_once(spark):
+    """A thousand records of few names in one project: classes of readings are linked, and all pairs come out."""
+    rows = [(i, "p", f"周建国{'' if i % 2 else ' '}") for i in range(60)] + [(100 + i, "p", "Zhou Jianguo") for i in range(40)] + [(200, "p", None), (None, "p", "周建国"), (0, "p", "周建国 ")]
+    df = spark.createDataFrame(rows, "k long, p string, t string")
+    assert same_names(df, "k", ["p"], "t", "person").count() == 100 * 99 // 2

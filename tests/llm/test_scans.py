@@ -48,3 +48,13 @@ def test_tokens():
 def test_empty(spark):
     assert find_noise(spark.createDataFrame([], "block_key long, text string"), "block_key", "text").count() == 0
     assert vocabulary(spark.createDataFrame([(None,)], "text string"), "text").count() == 0
+
+
+def test_long_headers_are_furniture(spark):
+    """Headers of any length that is less than the text's width."""
+    body = " and ".join([EN] * 2)
+    for n in (60, 85, 120):
+        head = ("CONTROLLED COPY OF THE NORTHERN FEEDER RECORD FOR INTERNAL REVIEW AND ARCHIVING IN THE LIBRARY OF THE MAIN LABORATORY AND ITS BRANCHES " * 2)[:n].strip()
+        extra = [(900 + i, f"{body} and then\n{head}\n{body} and more of item {i}") for i in range(4)]
+        got = {r["block_key"] for r in find_noise(frame(spark, extra), "block_key", "text").filter("noise = 'furniture'").collect()}
+        assert got == {900 + i for i in range(4)}, n

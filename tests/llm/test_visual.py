@@ -12,7 +12,7 @@ def plain(s):
     return re.sub(r"\s+", " ", s).strip(" ")
 
 
-TEXTS = ["Ａｂｃ　１２", "café café", "ậ ậ", "q̣̇", "a​b﻿­c", "Хаｒоm", "⽔⼯", "ﬁne ㎸ ①", "  x  y \n", "０0Oo1lI", "", "​", "x" * 5000 + "́", "é́̂", "𝐀𝑏", "ｶﾞ"]
+TEXTS = ["Ａｂｃ　１２", "café café", "ậ ậ", "q̣̇", "a​b﻿­c", "Хаｒоm", "⽔⼯", "ﬁne ㎸ ①", "  x  y \n", "０0Oo1lI", "", "​", "x" * 5000 + "́", "é́̂", "𝐀𝑏", "ｶﾞ", "a\u0323\u0302\u0301\u0300", "e\u0316\u0301\u0302", "o\u0338\u0328\u0304\u0301", "q\u0307\u0323\u0301"]
 
 
 @pytest.mark.parametrize("i", range(len(TEXTS)))

@@ -29,6 +29,8 @@ PROVINCES = "北京 天津 上海 重庆 河北 山西 辽宁 吉林 黑龙江 
 _ROMAN_PROVINCES = set("beijing tianjin shanghai chongqing hebei shanxi liaoning jilin heilongjiang jiangsu zhejiang anhui fujian jiangxi shandong henan hubei hunan guangdong hainan sichuan guizhou yunnan shaanxi gansu qinghai taiwan guangxi ningxia xinjiang tibet".split())
 GAP_OPEN, GAP_EXTEND, ACCEPT = 0.7, 0.35, 0.75
 BANDS, GRAM = 16, 3
+#: Letters from which a token is long.
+LONG = 40
 
 _HAN_NUM = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0, "两": 2}
 _ZH_STREET = re.compile(r"([一-鿿]+?)(大道|路|街|巷)\s?(?:门牌)?\s?(\d{1,5}|[零〇一二两三四五六七八九十百千]+)(?:\s?[号號#])?")
@@ -225,16 +227,20 @@ def readings(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _deletions(c: F.Column) -> F.Column:
-    """The token and what is left of it without one letter."""
-    at = F.sequence(F.lit(1), F.length(c))
-    return F.array_distinct(F.concat(F.array(c), F.transform(at, lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
+    """Keys on which tokens one slip apart meet: the token and what is left of it without one letter; of long tokens, both ends, one of which
+    a slip leaves whole."""
+    n = F.length(c)
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n)))
+    ends = F.array(F.concat(F.lit("<"), F.left(c, F.lit(19))), F.concat(F.lit(">"), F.right(c, F.lit(19))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(c), F.when(n <= LONG + 1, less).otherwise(none), F.when(n >= LONG, ends).otherwise(none)))
 
 
 def respell(r: DataFrame, column: str, script: str = "latin") -> DataFrame:
     """Rare spellings of a column's tokens replaced by the most frequent one that is one slip away: a letter more, less, other or swapped.
 
-    Tokens meet on their one-letter deletions, so no token is compared with all others; tokens of more than forty letters are no names."""
-    counts = r.filter(F.col("script") == script).groupBy(column).count().select(F.col(column).alias("w"), F.col("count").alias("n")).filter("length(w) between 4 and 40")
+    Tokens meet on their one-letter deletions or, where long, on their ends, so no token is compared with all others."""
+    counts = r.filter(F.col("script") == script).groupBy(column).count().select(F.col(column).alias("w"), F.col("count").alias("n")).filter("length(w) >= 4")
     keys = counts.select("w", "n", F.explode(_deletions(F.col("w"))).alias("d"))
     a, b = keys.select(F.col("w").alias("bad"), F.col("n").alias("bn"), "d"), keys.select(F.col("w").alias("good"), F.col("n").alias("gn"), "d")
     near = a.join(b, "d").filter("bad <> good and gn > 2 * bn")

@@ -35,7 +35,6 @@ PLAUSIBLE_MEAN, PLAUSIBLE_MAX = 12.5, 19.0
 FOREIGN_MEAN = 18.5
 #: Bits by which each character must fall where two-byte characters stand for as many letters; they must fill their run, between ASCII characters.
 LETTER_DROP = 4.0
-LAYERS = 3
 #: A character at least as frequent as this, of the scripts in ``_everyday``, needs no look.
 EVERYDAY = 5e-5
 
@@ -198,6 +197,23 @@ class GarbleModel:
                 at = m.end()
         return "".join([*out, text[at:]])
 
+    def _through(self, text: str) -> str | None:
+        """The text behind two layers or more of one encoding whose intermediate readings no corpus knows, if it is cheaper by the margin."""
+        if min(map(len, _RUN.findall(text)), default=0) < 4:
+            return None  # a character of two layers has four at least
+        best, least = None, self.price(text) - MARGIN
+        for legacy in LEGACY:
+            now, layers = text, 0
+            while not now.isascii():
+                try:
+                    new = _RUN.sub(lambda m: b"".join(self._encode(c, legacy) or b"\xff" for c in m.group()).decode("utf-8"), now)  # noqa: B023
+                except UnicodeDecodeError:
+                    break
+                now, layers = new, layers + 1
+                if layers > 1 and (cost := self.price(now)) < least and cost <= FOREIGN_MEAN * len(now):
+                    best, least = now, cost
+        return best
+
     def repair(self, text: str | None, restore: bool = True) -> tuple[bool, str | None]:
         """(garbled, text as far as it can be restored); without ``restore`` the search ends as soon as the answer is known."""
         if not text or text.isascii() or self.common.issuperset(text):
@@ -205,9 +221,7 @@ class GarbleModel:
         garbled, now = _TRACE.search(text) is not None, text
         if garbled and not restore:
             return True, None
-        for _ in range(LAYERS):
-            if (new := self._layer(now)) is None:
-                break
+        while (new := self._through(now) or self._layer(now)) is not None:  # each layer lowers the cost by the margin, so this ends
             garbled, now = True, new
             if not restore:
                 return True, None

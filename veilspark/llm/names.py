@@ -2,7 +2,8 @@
 
 Names are read into parts that do not depend on script: ideographs as syllables, titles, legal forms and branches apart. Every suffix of a
 part, above a least length, is indexed; records of one scope that share a suffix are candidates. A suffix that too many records of a scope
-share is not dropped but refined with the initials of the other parts. Candidates are compared part by part by the ratio of their longest
+share is not dropped but refined with the initials of the other parts. Records of one
+reading are one class. Candidates are compared part by part by the ratio of their longest
 common subsequence. Full names form clusters, the components of their links; a name that says less (a title, initials, a given name, an
 acronym) joins a cluster only when it fits exactly one.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.romanise import is_han, looks, osa, reading_tables
 from veilspark.session import cut
 
-LEAST_SUFFIX = 2
+LEAST_SUFFIX, LONGEST = 2, 40
 #: Records of one scope that may share a suffix before it is refined.
 COMMON = 200
 RATIO = 0.8
@@ -162,8 +163,6 @@ class NameReader:
     def _field(self, s: str) -> tuple[float, str]:
         """(fit, known line of business) of an abbreviation or misspelling in ideographs."""
         best = (0.0, "")
-        if len(s) > 40:
-            return best
         for f in FIELDS:
             c = common_length(s, f)
             fit = (1.0 if s == f else 0.97 if c == len(s) >= 2 else 2 * c / (len(s) + len(f))) if s else 0.0
@@ -350,12 +349,11 @@ def suffixes(token: str) -> list[str]:
     """The suffixes of a token that are long enough to tell something, whole token included."""
     if token[0] == "=":
         return [token]
-    if len(token) > 40:  # what two tokens share at their ends beyond forty letters, they share within them
-        return [token[i:] for i in range(len(token) - 40, len(token) - 3)] + ["<" + token[:n] for n in range(5, 41)]
-    least = max(LEAST_SUFFIX, min(len(token), 4))
-    out = [token[i:] for i in range(0, len(token) - least + 1)]
+    # Tokens that share a longer suffix share its last ``LONGEST`` letters.
+    least, longest = max(LEAST_SUFFIX, min(len(token), 4)), min(len(token), LONGEST)
+    out = [token[len(token) - n :] for n in range(least, longest + 1)]
     # A slip in the last letters leaves no suffix; the beginning stands in, as a suffix of the token read backwards.
-    return out + ["<" + token[: len(token) - i] for i in range(0, max(1, len(token) - 4)) if len(token) >= 5]
+    return out + ["<" + token[:n] for n in range(5, longest + 1)]
 
 
 _PERSON = ["look", "family", "given", "initials", "han", "other", "letters"]
@@ -396,10 +394,13 @@ def same_names(df: DataFrame, key: str, scope: list[str], text: str, kind: str)
                     rows.append((k, s, is_full(x), *[x[f] for f in fields]))
             yield pd.DataFrame(rows, columns=["k", "s", "full", *fields])
 
-    r = cut(scoped.mapInPandas(read, f"k {kt}, s string, full boolean, " + ", ".join(f"`{f}` string" for f in fields)))
+    every = cut(scoped.mapInPandas(read, f"k {kt}, s string, full boolean, " + ", ".join(f"`{f}` string" for f in fields)))
+    # Records of one reading are one class, compared once through its least key.
+    reading = ["s", *[f"`{f}`" for f in fields]]
+    r = cut(every.groupBy(*reading).agg(F.min("k").alias("k"), F.first("full").alias("full"), F.count("*").alias("times")))
 
     # How often each ideograph stands in brands: one entry for each character of the script at most.
-    counted = r.filter("han <> ''").select(F.explode(F.split("han", "")).alias("c")).filter("c <> ''").groupBy("c").count()
+    counted = every.filter("han <> ''").select(F.explode(F.split("han", "")).alias("c")).filter("c <> ''").groupBy("c").count()
     letters = spark.sparkContext.broadcast({x["c"]: x["count"] for x in counted.collect()} if kind != "person" else {})
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -447,5 +448,6 @@ def same_names(df: DataFrame, key: str, scope: list[str], text: str, kind: str)
     named = named.join(founded.select(F.col("c").alias("oc")), "oc").join(founded.select(F.col("c").alias("wc")), "wc", "left_anti")
     one = named.groupBy("wc").agg(F.min("oc").alias("to"), F.max("oc").alias("last")).filter("to = last").select(F.col("wc").alias("c"), "to")
     final = label.join(one, "c", "left").select("k", F.coalesce("to", "c").alias("c"))
-    m = cut(final)
+    same = [F.col(f"e.{c}") == F.col(f"r.{c}") for c in reading]
+    m = cut(every.alias("e").join(r.alias("r"), same).select(F.col("e.k").alias("k"), F.col("r.k").alias("rep")).join(final.select(F.col("k").alias("rep"), "c"), "rep").select("k", "c"))
     return m.alias("a").join(m.alias("b"), "c").filter("a.k < b.k").select(F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b")).distinct()

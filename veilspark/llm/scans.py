@@ -1,7 +1,7 @@
 """Repair of text from scanned pages.
 
 Words, and short windows around characters that are easily misread, are counted over all texts. Each gets an anagram value, the sum of
-the fifth powers of its code points; a confusion such as m for rn then is a constant difference of values, so rare words are joined
+the third powers of its code points; a confusion such as m for rn then is a constant difference of values, so rare words are joined
 with their frequent variants on value plus difference, in SQL, and verified by the confusion itself. The most frequent variant is the
 correction. Lines that are page numbers by form, and short lines that interrupt running text in several blocks or twice in one, are page
 furniture. A hyphen at a line end is a cut when the joined word is attested more than the compound, or when its halves are no words.
@@ -175,9 +175,9 @@ def furniture(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     x = multi.withColumn("w", width).select(key, F.inline(rows))
     name = F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+" + _NUM + r"\s*$", "")), r"(?<=项目|单位|人员|Project |Unit |Person )[A-Z]{1,3}", "#")
-    x = cut(x.withColumn("name", name).filter("number or length(line) <= 80"))  # lines of the few texts with several, read several times
+    x = cut(x.withColumn("name", name))  # lines of the few texts with several, read several times
     strict = x.filter("breaks and not number and length(name) >= 4")
-    known = strict.groupBy("name").agg(F.approx_count_distinct(key).alias("blocks"), F.count("*").alias("n"), F.countDistinct(key).alias("exact")).filter(F.col("exact") >= HEADER_BLOCKS).select("name")
+    known = strict.groupBy("name").agg(F.countDistinct(key).alias("blocks")).filter(F.col("blocks") >= HEADER_BLOCKS).select("name")
     twice = strict.groupBy(key, "name").agg(F.count("*").alias("n")).filter("n >= 2").select(key, "name")
     inner = x.filter("pos > 1")
     by_name = inner.filter("not number").join(known, "name", "left_semi").select(key, "pos", "line")

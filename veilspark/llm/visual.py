@@ -12,10 +12,11 @@ text becomes empty; case and different ASCII characters stay different. Hangul c
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.chars import ALL_INVISIBLE_CLASS, code_points, decomposition_rows
@@ -49,19 +50,16 @@ def mark_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), "m string, ccc int")
 
 
-def composition_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(compositions().items()), "pair string, composed string")
+def composed(base: Column, marks: Column) -> Column:
+    """A starter with its ordered marks (ccc, s), composed where Unicode does; a mark behind one of its own class that stayed is blocked."""
+    pairs = F.from_json(F.lit(json.dumps(compositions())), "map<string,string>")  # a constant
+    start = F.struct(base.alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
+    def step(a: Column, m: Column) -> Column:
+        one = F.when(a["last"] < m["ccc"], F.try_element_at(pairs, F.concat(a["base"], m["s"])))
+        return F.when(one.isNotNull(), F.struct(one.alias("base"), a["rest"].alias("rest"), a["last"].alias("last"))).otherwise(F.struct(a["base"].alias("base"), F.concat(a["rest"], m["s"]).alias("rest"), m["ccc"].alias("last")))
 
-def _recompose(runs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Runs of a starter and its ordered marks, composed mark by mark where Unicode does, in as many rounds; other marks stay behind."""
-    table = F.broadcast(composition_table(runs.sparkSession))
-    for _ in range(rounds):
-        first = F.get("marks", F.lit(0))
-        runs = runs.join(table, F.concat("base", first) == F.col("pair"), "left")
-        rest = F.slice("marks", 2, F.greatest(F.size("marks") - 1, F.lit(0)))
-        runs = runs.withColumn("base", F.coalesce("composed", "base")).withColumn("marks", F.when(F.col("composed").isNotNull(), rest).otherwise(F.col("marks"))).drop("pair", "composed")
-    return runs
+    return F.when(F.size(marks) == 0, base).otherwise(F.aggregate(marks, start, step, lambda a: F.concat(a["base"], a["rest"])))
 
 
 def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> DataFrame:
@@ -86,9 +84,8 @@ def one_form(df: DataFrame, key: list[str], text: str, out: str = "form") -> Dat
     at = F.struct("pos", "sub")
     x = x.withColumn("starter", F.max(F.when((F.col("ccc") == 0) & (F.col("s") != ""), at)).over(w))
     runs = x.groupBy(*key, "starter").agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "s"))).alias("r"))
-    of = lambda p: F.transform(F.filter(F.col("r"), p), lambda y: y["s"])
-    runs = runs.select(*key, "starter", F.array_join(of(lambda y: y["ccc"] == 0), "").alias("base"), of(lambda y: y["ccc"] > 0).alias("marks"))
-    runs = _recompose(runs).select(*key, F.struct(F.col("starter"), F.concat("base", F.array_join("marks", "")).alias("s")).alias("run"))
+    base = F.array_join(F.transform(F.filter("r", lambda y: y["ccc"] == 0), lambda y: y["s"]), "")
+    runs = runs.select(*key, F.struct(F.col("starter"), composed(base, F.filter("r", lambda y: y["ccc"] > 0)).alias("s")).alias("run"))
     built = runs.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("run")), lambda y: y["s"]), "").alias("_f"))
     return kept.unionByName(built.select(*key, spaces(F.col("_f")).alias(out))).withColumnsRenamed(dict(zip(key, names)))
 
