@@ -27,17 +27,31 @@ def test_report(tmp_path):
     assert "王小明" not in (tmp_path / "report.redacted.md").read_text(encoding="utf-8")
 
 
-def test_release(tmp_path):
-    def f(name, data, **more):
-        return {"file_name": name, "content": data, "file_hash": hashlib.sha256(data).hexdigest()} | more
+GOOD = {"residual_scan": {"status": "clear", "hits": 0}, "sources": 7, "mapping_hash": "a" * 64, "actual_mapping_hash": "a" * 64}
+
+
+def source(name, data, **more):
+    return {"file_name": name, "content": data, "file_hash": hashlib.sha256(data).hexdigest()} | more
+
 
-    files = [f("王小明.txt", "王小明在".encode()), f("b.md", b" "), f("c.txt", b"x", file_hash="0"), f("d.pdf", b"x", reason="pdf_external_release_disabled"), f("e.docx", b"x"), f("g.txt", b"\xff"), f("h.txt", "张".encode())]
-    m = delivery.export_release(files, [("王小明", "人员A"), ("张", "张三")], str(tmp_path))
-    assert [r["reason"] for r in m["files"]] == ["", "output_missing_or_empty", "source_hash_mismatch", "pdf_external_release_disabled", "unsupported", "source_parse_unverified", "residual_after_rewrite"]
+def test_release(tmp_path):
+    f = source
+    files = [f("王小明.txt", "王小明在".encode()), f("b.md", b" "), f("c.txt", b"x", file_hash="0"), f("d.pdf", b"x"), f("e.docx", b"x"), f("g.txt", b"\xff"), f("h.txt", "张".encode())]
+    m = delivery.export_release(files, [("王小明", "人员A"), ("张", "张三")], str(tmp_path), GOOD)
+    assert [r["reason"] for r in m["files"]] == ["", "output_missing_or_empty", "source_hash_mismatch", "pdf_external_release_disabled", "source_parse_not_ok", "source_parse_unverified", "residual_after_rewrite"]
     assert (tmp_path / m["batch_id"] / "file_0001.txt").read_text(encoding="utf-8") == "人员A在" and m["exported_count"] == 1
     assert [p.name for p in tmp_path.iterdir()] == [m["batch_id"]]
 
 
+def test_release_gates(tmp_path):
+    files = [source("a.txt", "王小明在".encode()), source("b.txt", "李四在".encode()), source("c.txt", b"ok", warnings=["ocr_low_confidence:0.2"]), source("d.txt", b"ok", reason="held")]
+    run = lambda package, **more: [r["reason"] for r in delivery.export_release(files, [("王小明", "人员A")], str(tmp_path), package, **more)["files"]]
+    good = GOOD | {"sources": 4}
+    assert run(good) == ["", "", "source_parse_unverified", "held"] and run(good, drift={"李四"}) == ["", "channel_mapping_drift", "source_parse_unverified", "held"]
+    for bad, reason in (({"residual_scan": {"status": "residual_found", "hits": 1}}, "residual_not_clear"), ({"residual_scan": {"status": "clear", "hits": False}}, "residual_not_clear"), ({"residual_scan": None}, "residual_not_clear"), ({"sources": 3}, "source_evidence_missing"), ({"actual_mapping_hash": "b" * 64}, "mapping_hash_mismatch"), ({"mapping_hash": "x"}, "mapping_hash_mismatch")):
+        assert run(good | bad) == [reason, reason, reason, "held"]
+
+
 def test_small_parts(spark):
     df = spark.createDataFrame([("keep", None), ("redact", "range"), ("redact", "odd"), (None, None)], "a string, s string")
     assert [r[0] for r in df.select(delivery.decision_value(F.col("a"), F.col("s"))).collect()] == ["keep|keep", "redact|range", "redact|pseudonym", "redact|pseudonym"]

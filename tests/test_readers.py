@@ -18,7 +18,7 @@ def pack(parts):
     return b.getvalue()
 
 
-DOCX = pack({"[Content_Types].xml": "<Types/>", "word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>项目名称：</w:t></w:r><w:r><w:t>甲工程</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>二</w:t></w:r></w:p></w:body></w:document>", "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>电话：13812345678</w:t></w:r></w:p></w:hdr>", "word/comments.xml": f"<w:comments {W}><w:comment/></w:comments>"})
+DOCX = pack({"[Content_Types].xml": "<Types/>", "word/document.xml": f"<w:document {W}><w:body><w:p><w:r><w:t>项目名称：</w:t></w:r><w:r><w:t>甲工程</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>二</w:t></w:r></w:p></w:body></w:document>", "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>电话：13812345678</w:t></w:r></w:p></w:hdr>", "word/comments.xml": f"<w:comments {W}><w:comment><w:p><w:r><w:t>批注</w:t></w:r></w:p></w:comment></w:comments>"})
 XLSX = pack({"[Content_Types].xml": "<Types/>", "xl/workbook.xml": f'<workbook {X}><sheets><sheet name="a"/><sheet name="b" state="hidden"/></sheets></workbook>', "xl/sharedStrings.xml": f"<sst {X}><si><t>合同金额</t></si></sst>", "xl/worksheets/sheet1.xml": f'<worksheet {X}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>350</v></c><c r="C1" t="s"><v>9</v></c><c r="D1" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>'})
 
 
@@ -26,7 +26,7 @@ def test_office_files():
     assert formats.parse("a.DOCX", DOCX) == ([{"location": "paragraph:1", "text": "项目名称：甲工程"}, {"location": "paragraph:3", "text": "二"}], "ok", [])
     blocks, status, _ = formats.parse("a.xlsx", XLSX)
     assert status == "ok" and blocks[0]["location"] == "sheet1:row1:A1,B1,D1" and blocks[0]["text"] == "合同金额 | 350 | x"
-    assert formats.inspect("a.docx", DOCX) == ("found", "", {"comment": 1, "header": 1})
+    assert formats.inspect("a.docx", DOCX) == ("found", "", {"comment": 2, "header": 2})
     assert formats.inspect("a.xlsx", XLSX) == ("found", "", {"hidden_sheet": 1})
     assert "电话：13812345678" in formats.channel_texts("a.docx", DOCX)
 
@@ -40,7 +40,7 @@ def test_failures_are_statuses():
     evil = pack({"word/document.xml": '<!DOCTYPE x [<!ENTITY a "b">]><x>&a;</x>'})
     assert formats.parse("a.docx", evil)[1:] == ("failed", ["parse_failed:Unreadable"])
     assert formats.inspect("a.doc", b"x")[0] == "conversion_required" and formats.inspect("a.md", b"x")[0] == "clear"
-    assert formats.inspect("a.pdf", b"x")[:2] == ("unverified", "pypdf_unavailable") and formats.inspect("a.docx", b"x")[1] == "inspect_failed"
+    assert formats.inspect("a.pdf", b"x")[:2] == ("unverified", "pdf_read_failed") and formats.inspect("a.docx", b"x")[1] == "inspect_failed"
     big = pack({f"m{i}": "" for i in range(2049)})
     with pytest.raises(formats.Unreadable):
         formats.container(big)
@@ -55,7 +55,7 @@ def test_folder(spark, tmp_path):
     m = {r["file_name"]: r for r in readers.manifest(f).collect()}
     assert m["c.pdf"]["warnings"] == ["ocr_applied", "ocr_low_confidence:0.25"] and m["a.docx"]["project_id"] == "p1" and m["b.txt"]["file_ord"] == 2
     assert {r["location"] for r in readers.blocks(f).collect()} == {"paragraph:1", "paragraph:3", "text:1", "pdf:ocr"}
-    assert {(r["kind"], r["count"]) for r in readers.channels(f).collect()} == {("header", 1), ("comment", 1)}
+    assert {(r["kind"], r["count"]) for r in readers.channels(f).collect()} == {("header", 2), ("comment", 2)}
     assert readers.list_files(spark, str(tmp_path)).count() == 3
 
 

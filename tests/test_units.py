@@ -43,6 +43,13 @@ def test_pairs(spark):
     assert got == [(1, 2), (1, 3), (5, 6)]
 
 
+def test_long_numerals(spark):
+    for text, want in (("十二万三千元", 123_000), ("一亿二千三百万零五元", 123_000_005), ("三万元", 30_000), ("二十万元", 200_000), ("两千零一元", 2001), ("二〇一元", 201)):
+        assert one(spark, text)[0] == want, text
+    for text in ("九" * 40 + "元", "九亿" * 9 + "一元", "一万一亿一元", "9" * 60 + "元", "0." + "1" * 40 + "元"):
+        assert one(spark, text)[0] is None, text
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert same_quantity_pairs(df, "entity_id", ["project_id"], "original", "replacement_hint").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
         for a in args:
             s.add_argument(a)
         if name in ("encrypt", "decrypt"):
-            s.add_argument("--passphrase", required=True)
+            s.add_argument("--passphrase-fd", type=int, help="open file descriptor to read the passphrase from; else $VEILSPARK_PASSPHRASE")
         if name == "build":
             s.add_argument("--dictionary")
             s.add_argument("--decisions")
@@ -38,9 +39,9 @@ def main(argv: list[str] | None = None) -> int:
         pairs = [(i["replacement"], i["original"]) for i in items if i["replacement"] != i["placeholder"]] + [(i["placeholder"], i["original"]) for i in items]
         sys.stdout.write(redact.Replacer(pairs)(open(a.text, encoding="utf-8").read()))
     elif a.command == "encrypt":
-        crypto.write_private(a.out, crypto.encrypt(spark, json.load(open(a.mapping, encoding="utf-8")), a.passphrase))
+        crypto.write_private(a.out, crypto.encrypt(spark, json.load(open(a.mapping, encoding="utf-8")), _passphrase(a.passphrase_fd)))
     elif a.command == "decrypt":
-        crypto.write_private(a.out, crypto.decrypt(spark, json.load(open(a.mapping, encoding="utf-8")), a.passphrase))
+        crypto.write_private(a.out, crypto.decrypt(spark, json.load(open(a.mapping, encoding="utf-8")), _passphrase(a.passphrase_fd)))
     elif a.command == "scan":
         t = readers.blocks(readers.read_files(spark, a.root)).select(F.concat("project_id", F.lit("/"), "file_name").alias("file"), "text")
         hits = governance.secret_scan(t, "file", "text")
@@ -54,18 +55,19 @@ def build(spark, root: str, out: str, dictionary: str | None = None, decisions:
     files = readers.read_files(spark, root)
     b = readers.blocks(files)
     texts = b.select("project_id", F.struct("file_ord", "block_ord").alias("block"), "text")
-    given = [r["project_id"] for r in files.select("project_id").distinct().collect()]
-    union = lambda read, path: None if not path else _union([read(spark, path, g) for g in given])
-    d, x = union(readers.read_dictionary, dictionary), union(readers.read_decisions, decisions)
+    given = files.select("project_id").distinct()
+    x = readers.read_decisions(spark, decisions, given) if decisions else None
+    d = readers.read_dictionary(spark, dictionary, given) if dictionary else None
     r = redact_projects(texts, "block", x, d, readers.channel_texts(files))
-    write_package(r, public_package(r, "block", readers.manifest(files), x, d), out)
+    write_package(r, public_package(r, "block", readers.manifest(files), x, readers.channel_status(files)), out, x)
 
 
-def _union(frames):
-    first, *rest = frames
-    for f in rest:
-        first = first.unionByName(f)
-    return first
+def _passphrase(fd: int | None) -> str:
+    """From an open file or the environment: arguments of a process can be seen by others."""
+    if fd is not None:
+        with os.fdopen(fd, encoding="utf-8") as f:
+            return f.readline().rstrip("\n")
+    return os.environ.get("VEILSPARK_PASSPHRASE", "")
 
 
 if __name__ == "__main__":

@@ -92,6 +92,16 @@ def impact_summary(impacts: DataFrame) -> DataFrame:
     return x.select("project_id", overall.alias("overall_level"), *[c for c in x.columns if c not in ("project_id", "blocked", "top", "private_kept")])
 
 
+def gate_message(overall: Column) -> Column:
+    """What the gate of an impact summary asks for."""
+    return (
+        F.when(overall == "blocked_requires_confirmation", "high impact fields are redacted: confirm before the assessment")
+        .when(overall == "warning", "assessment fields are redacted or personal values are kept: review before use")
+        .when(overall == "pass", "no assessment field is affected")
+        .otherwise("no impact summary: review before use")
+    )
+
+
 def unmatched_decisions(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     """(project_id, candidate_id) of decisions that belong to no entity of their project."""
     ids = decided(entities, decisions).select("project_id", "candidate_id").distinct()

@@ -1,4 +1,4 @@
-"""What is handed over: review workspaces, restored reports, validated external copies of text files, summaries, and checks of a runtime.
+"""What is handed over: review workspaces, restored reports, validated external copies of text and office files, summaries, and checks of a runtime.
 
 Files are staged and renamed, so a reader sees a whole delivery or none. Anything unexpected blocks a file with a fixed reason code."""
 
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from veilspark.operators.detect import detect
 from veilspark.operators.redact import Replacer
+from veilspark.operators.release import OFFICE_TYPES, TEXT_TYPES
 from veilspark.operators.rules import STRATEGIES
+from veilspark.sources import formats, office
 
 DECISION_VALUES = ["redact|pseudonym", "redact|mask", "redact|range", "keep|keep"]
 JOB_LABELS = {"queued": "排队中", "running": "处理中", "completed": "已完成", "failed": "失败", "cancelled": "已取消"}
@@ -82,46 +84,96 @@ def _replace(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
-def release_text(data: bytes, expected_sha: str, pairs: list[tuple[str, str]]) -> tuple[bytes | None, str]:
-    """(copy, '') of a plain text file with everything replaced, or (None, reason)."""
-    if hashlib.sha256(data).hexdigest() != expected_sha:
-        return None, "source_hash_mismatch"
+def package_reason(package: dict, sources: int) -> str:
+    """The reason that blocks a whole release, or ''; ``release.package_gate`` for one package at hand."""
+    residual = package.get("residual_scan") or {}
+    expected = package.get("mapping_hash")
+    if residual.get("status") != "clear" or type(residual.get("hits")) is not int or residual["hits"]:
+        return "residual_not_clear"
+    if package.get("sources") != sources:
+        return "source_evidence_missing"
+    if not isinstance(expected, str) or not re.fullmatch("[0-9a-f]{64}", expected) or expected != package.get("actual_mapping_hash"):
+        return "mapping_hash_mismatch"
+    return ""
+
+
+class _Blocked(Exception):
+    """A file that is not released, with its reason."""
+
+
+def release_copy(name: str, data: bytes, pairs: list[tuple[str, str]]) -> bytes:
+    """A copy of a text or office file with everything replaced, read again and searched for what should be gone."""
+    kind, needles = formats.suffix(name), [o for o, _ in pairs if o]
+    if formats.parse(name, data)[1] != "ok":
+        raise _Blocked("source_parse_not_ok")
+    if formats.inspect(name, data)[0] not in ("clear", "found"):
+        raise _Blocked("hidden_channels_unverified")
+    if kind in OFFICE_TYPES:
+        try:
+            return office.release_copy(data, kind == "docx", pairs, needles)
+        except office.Unreadable as e:
+            raise _Blocked(str(e)) from None
+        except Exception:
+            raise _Blocked("rewrite_or_validation_failed") from None
+    if kind not in TEXT_TYPES:
+        raise _Blocked("unsupported")
     try:
         new = Replacer(pairs)(data.decode("utf-8"))
     except UnicodeDecodeError:
-        return None, "source_parse_unverified"
+        raise _Blocked("source_parse_unverified") from None
     if not new.strip():
-        return None, "output_missing_or_empty"
-    if any(o and o in new for o, _ in pairs):
-        return None, "residual_after_rewrite"
-    return new.encode("utf-8"), ""
-
-
-def export_release(files: list[dict], pairs: list[tuple[str, str]], folder: str) -> dict:
-    """Validated copies of the plain text files among ``files`` (file_name, content, file_hash, reason), published in one rename.
-
-    A file that a gate has blocked keeps its reason; names of copies are aliases, as a name may be private."""
-    batch = uuid.uuid4().hex
+        raise _Blocked("output_missing_or_empty")
+    if any(o in new for o in needles):
+        raise _Blocked("residual_after_rewrite")
+    return new.encode("utf-8")
+
+
+def _released(f: dict, pairs: list[tuple[str, str]], blocked: str, drift: set[str]) -> bytes:
+    name, data = f["file_name"], f["content"]
+    blocks, status, _ = formats.parse(name, data) if drift else ([], "", [])
+    texts = [b["text"] for b in blocks] + (formats.channel_texts(name, data) if status == "ok" else [])
+    for bad, reason in (
+        (formats.suffix(name) == "pdf", "pdf_external_release_disabled"),
+        (f.get("reason"), f.get("reason")),
+        (blocked, blocked),
+        (hashlib.sha256(data).hexdigest() != f["file_hash"], "source_hash_mismatch"),
+        (any("ocr_low_confidence" in w for w in f.get("warnings") or []), "source_parse_unverified"),
+        (any(v in t for v in drift for t in texts), "channel_mapping_drift"),
+    ):
+        if bad:
+            raise _Blocked(reason)
+    return release_copy(name, data, pairs)
+
+
+def export_release(files: list[dict], pairs: list[tuple[str, str]], folder: str, package: dict, drift: set[str] | None = None) -> dict:
+    """Validated copies of ``files`` (file_name, content, file_hash, reason, warnings), published in one rename.
+
+    ``package`` (residual_scan, sources, mapping_hash, actual_mapping_hash) must pass its gate, else every file is blocked; ``drift`` holds
+    values that a second look at the sources finds and the mapping lacks (``channel_drift``), and blocks the files that hold one. A file
+    that a gate has blocked keeps its reason; names of copies are aliases, as a name may be private."""
+    batch, blocked = uuid.uuid4().hex, package_reason(package, len(files))
     staging, target = Path(folder) / f".{batch}.part", Path(folder) / batch
     staging.mkdir(parents=True)
     rows = []
     try:
         for i, f in enumerate(files, 1):
-            kind, reason, copy = f["file_name"].rsplit(".", 1)[-1].lower(), f.get("reason") or "", None
-            if not reason and kind not in ("txt", "md"):
-                reason = "unsupported"
-            if not reason:
-                copy, reason = release_text(f["content"], f["file_hash"], pairs)
-            name = f"file_{i:04d}.{kind}"
-            if copy is not None:
+            name = f"file_{i:04d}.{formats.suffix(f['file_name'])}"
+            row = {"source_index": i - 1, "status": "blocked", "reason": "", "output_name": "", "sha256": "", "source_sha256": ""}
+            try:
+                copy = _released(f, pairs, blocked, drift or set())
                 (staging / name).write_bytes(copy)
-            rows.append({"source_index": i - 1, "status": "exported" if copy is not None else "blocked", "reason": reason, "output_name": name if copy is not None else "", "sha256": hashlib.sha256(copy).hexdigest() if copy is not None else ""})
+                row |= {"status": "exported", "output_name": name, "sha256": hashlib.sha256(copy).hexdigest(), "source_sha256": f["file_hash"]}
+            except _Blocked as e:
+                row["reason"] = str(e)
+            except Exception:
+                row["reason"] = "source_unverified"
+            rows.append(row)
         names = {r["output_name"] for r in rows if r["output_name"]}
         if {p.name for p in staging.iterdir()} != names:
             raise RuntimeError("unexpected_batch_file")
         if any(hashlib.sha256((staging / r["output_name"]).read_bytes()).hexdigest() != r["sha256"] for r in rows if r["output_name"]):
             raise RuntimeError("output_changed_after_validation")
-        manifest = {"schema_version": "external_release.v1", "batch_id": batch, "files": rows, "exported_count": len(names), "blocked_count": len(rows) - len(names)}
+        manifest = {"schema_version": "external_release.v1", "batch_id": batch, "direct_release_claim": False, "files": rows, "exported_count": len(names), "blocked_count": len(rows) - len(names)}
         (staging / "manifest.json").write_text(json.dumps(manifest, indent=2))
         staging.rename(target)
     except BaseException:

@@ -61,10 +61,8 @@ class Replacer:
         self.pairs = sorted(seen.items(), key=lambda p: -len(p[0]))
         self.auto = None
         if self.pairs:
-            try:
-                import ahocorasick
-            except ImportError:  # the values are searched one by one then
-                return
+            import ahocorasick
+
             self.auto = ahocorasick.Automaton()
             for i, (o, _) in enumerate(self.pairs):
                 self.auto.add_word(o, i)
@@ -72,7 +70,7 @@ class Replacer:
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         if self.auto is None:
-            return claim_spans(text, self.pairs)
+            return []
         at: dict[str, list[int]] = {}
         for end, i in self.auto.iter(text):
             o = self.pairs[i][0]
@@ -126,10 +124,7 @@ def present_values(texts: DataFrame, values: DataFrame, project: str, text: str,
             for t in a[text]:
                 if not isinstance(t, str):
                     continue
-                if search.auto is not None:
-                    found.update(search.pairs[i][0] for _, i in search.auto.iter(t))
-                else:
-                    found.update(o for o, _ in search.pairs if o in t)
+                found.update(search.pairs[i][0] for _, i in search.auto.iter(t))
         of = a[project].iloc[0] if len(a) else None
         return pd.DataFrame({project: pd.Series([of] * len(found), dtype=object), value: pd.Series(sorted(found), dtype=object)})
 
@@ -139,19 +134,21 @@ def present_values(texts: DataFrame, values: DataFrame, project: str, text: str,
 
 
 def redact_runs(runs: list[str], pairs: list[tuple[str, str]]) -> list[str]:
-    """The texts of adjoining runs, replaced across their borders: a replacement stands in the first run that it touches."""
-    joined, edges, at = "".join(runs), [], 0
-    for r in runs:
-        edges.append((at, at + len(r)))
-        at += len(r)
-    out = list(runs)
-    for a, b, new in reversed(claim_spans(joined, sorted(pairs, key=lambda p: -len(p[0])))):
-        first = True
-        for i, (x, y) in enumerate(edges):
-            if a < y and b > x:
-                lo, hi = max(a, x) - x, min(b, y) - x
-                out[i] = out[i][:lo] + (new if first else "") + out[i][hi:]
-                first = False
+    """The texts of adjoining runs, replaced across their borders: one merge of runs and spans, a replacement where its span begins."""
+    spans = claim_spans("".join(runs), sorted(pairs, key=lambda p: -len(p[0])))
+    out, begin, k = [], 0, 0
+    for run in runs:
+        end, kept, new = begin + len(run), begin, []
+        while k < len(spans) and spans[k][0] < end:
+            a, b, value = spans[k]
+            if a >= begin:
+                new += [run[kept - begin : a - begin], value]
+            kept = max(kept, min(b, end))
+            if b > end:
+                break
+            k += 1
+        out.append("".join([*new, run[kept - begin :]]))
+        begin = end
     return out
 
 

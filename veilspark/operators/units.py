@@ -55,7 +55,8 @@ UPPER = "≤ <= < ⩽ 不大于 不高于 不超过 不多于 至多 最多 最
 LOWER = "≥ >= > ⩾ 不低于 不小于 不少于 至少 最少 最小 大于等于 高于 多于 atleast nolessthan".split()
 _HAN_DIGITS = "零〇一二两三四五六七八九"
 _NUMBER = r"[+-]?\d+(?:\.\d+)?"
-_HAN_NUMBER = r"[零〇一二两三四五六七八九十百千]+"
+#: Ten thousands and hundred millions belong to the numeral where more of it follows, else to the unit.
+_HAN_NUMBER = r"(?:[零〇一二两三四五六七八九十百千]+[万亿](?=[零〇一二两三四五六七八九十百千]))*[零〇一二两三四五六七八九十百千]+"
 
 
 def alias_rows() -> list[tuple[str, str, str, str, str]]:
@@ -78,18 +79,23 @@ def alias_table(spark: SparkSession) -> DataFrame:
 
 
 def han_number(c: Column) -> Column:
-    """The value of a Chinese numeral below ten thousand, as in 四百八十一; plain digit runs as in 二〇一 are read digit by digit."""
+    """The value of a Chinese numeral, as in 四百八十一 or 十二万三千; plain digit runs as in 二〇一 are read digit by digit. Null where it is
+    not well formed: sections of more signs than a numeral has, or ten thousands before hundred millions."""
     digit = lambda x: F.when(x == "〇", 0).when(x == "两", 2).otherwise(F.instr(F.lit("零一二三四五六七八九"), x) - 1)
-    acc = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(-1).cast("bigint").alias("last"))
+    big = lambda x: x.cast("bigint")
+    state = lambda high, total, last: F.struct(big(high).alias("high"), big(total).alias("total"), big(last).alias("last"))
+    below = lambda a: a["total"] + F.greatest(a["last"], F.lit(0))
 
     def step(a: Column, x: Column) -> Column:
         power = F.when(x == "十", 10).when(x == "百", 100).when(x == "千", 1000)
-        return F.when(
-            power.isNotNull(),
-            F.struct((a["total"] + F.when(a["last"] < 0, F.lit(1)).otherwise(a["last"]) * power).cast("bigint").alias("total"), F.lit(-1).cast("bigint").alias("last")),
-        ).otherwise(F.struct(a["total"].alias("total"), (F.when(a["last"] > 0, a["last"] * 10).otherwise(F.lit(0)) + digit(x)).cast("bigint").alias("last")))
+        grown = state(a["high"], a["total"] + F.when(a["last"] < 0, F.lit(1)).otherwise(a["last"]) * power, F.lit(-1))
+        read = state(a["high"], a["total"], F.when(a["last"] > 0, a["last"] * 10).otherwise(F.lit(0)) + digit(x))
+        ten_thousands = state(a["high"] + below(a) * 10_000, F.lit(0), F.lit(-1))
+        hundred_millions = state((a["high"] + below(a)) * 100_000_000, F.lit(0), F.lit(-1))
+        return F.when(x == "万", ten_thousands).when(x == "亿", hundred_millions).when(power.isNotNull(), grown).otherwise(read)
 
-    return F.aggregate(F.split(c, ""), acc, lambda a, x: F.when(x == "", a).otherwise(step(a, x)), lambda a: a["total"] + F.when(a["last"] < 0, F.lit(0)).otherwise(a["last"]))
+    value = F.aggregate(F.split(c, ""), state(F.lit(0), F.lit(0), F.lit(-1)), lambda a, x: F.when(x == "", a).otherwise(step(a, x)), lambda a: a["high"] + below(a))
+    return F.when(c.rlike("^(?:[^万亿]{1,8}亿)?(?:[^万亿]{1,8}万)?[^万亿]{1,12}$"), value)
 
 
 def _bound(c: Column) -> Column:
@@ -113,7 +119,7 @@ def normalize_quantities(df: DataFrame, text: str, hint: str | None = None, defa
         .withColumn("_han", F.regexp_extract("_b", lead + f"({_HAN_NUMBER})(.*)$", 2))
         .withColumn("_lead", F.coalesce(F.nullif(F.regexp_extract("_b", lead + f"({_NUMBER}|{_HAN_NUMBER})(.*)$", 1), F.lit("")), F.lit("")))
         .withColumn("_rest", F.regexp_extract("_b", lead + f"({_NUMBER}|{_HAN_NUMBER})(.*)$", 3))
-        .withColumn("q_number", F.when(F.col("_digits") != "", F.expr("try_cast(_digits as decimal(20,8))")).when(F.col("_han") != "", han_number(F.col("_han")).cast("decimal(20,8)")))
+        .withColumn("q_number", F.when((F.col("_digits") != "") & F.col("_digits").rlike(r"\.\d{8}\d*[1-9]"), None).when(F.col("_digits") != "", F.expr("try_cast(_digits as decimal(20,8))")).when(F.col("_han") != "", han_number(F.col("_han")).try_cast("decimal(20,8)")))
         .withColumn("q_bound", _bound(F.col("_q")))
         .withColumn("_own", F.coalesce(F.nullif(F.col("_rest"), F.lit("")), F.nullif(F.col("_lead"), F.lit(""))))
     )

@@ -65,9 +65,10 @@ def sql_amount_range(x: str) -> str:
 
 
 def sql_letters(n: str) -> str:
-    at = lambda x: f"chr(CAST(65 + {x} AS INTEGER))"
-    k, t = f"({n} - 27)", f"({n} - 703)"
-    return f"CASE WHEN {n} <= 26 THEN {at(f'({n} - 1)')} WHEN {n} <= 702 THEN {at(f'{k} // 26')} || {at(f'{k} % 26')} ELSE {at(f'{t} // 676')} || {at(f'({t} // 26) % 26')} || {at(f'{t} % 26')} END"
+    """Letters of a number, by the lengths up to six; greater numbers than 321272406 have none in the SQL."""
+    first = lambda m: sum(26**i for i in range(m))
+    at = lambda m, i: f"chr(CAST(65 + (({n} - {first(m)}) // {26 ** (m - 1 - i)}) % 26 AS INTEGER))"
+    return "CASE " + " ".join(f"WHEN {n} < {first(m + 1)} THEN {' || '.join(at(m, i) for i in range(m))}" for m in range(1, 7)) + " END"
 
 
 def sql_profile(kind: str, i: int, default: str) -> str:
@@ -212,9 +213,9 @@ def placeholder_prefixes(spark, d):
     return mapping.placeholder_prefix(load(spark, d, "mapping_items").filter("placeholder is not null")).select("project_id", "placeholder", "prefix").distinct()
 
 
-@query("placeholder_letters", f"SELECT n, {sql_letters('n')} AS letters FROM (SELECT DISTINCT ord + 1 AS n FROM entities WHERE ord BETWEEN 0 AND 18000)")
+@query("placeholder_letters", f"SELECT n, {sql_letters('n')} AS letters FROM (SELECT DISTINCT ord + 1 AS n FROM entities WHERE ord >= 0)")
 def placeholder_letters(spark, d):
-    """Sequence numbers as letters; the SQL knows three letters and stops at 18000, this does not."""
+    """Sequence numbers as letters."""
     return load(spark, d, "entities").filter("ord >= 0").select((F.col("ord") + 1).alias("n")).distinct().select("n", letters(F.col("n")).alias("letters"))
 
 
@@ -228,7 +229,19 @@ def mapping_merge(spark, d):
 # ---- redaction ----------------------------------------------------------------------------------------------------------------------
 
 
-@query("redact_documents")
+#: Values of a project, longest first; those of equal length in the order of the mapping. Claimed places are marked in a mask of the text:
+#: a value hits left to right, behind each hit, and replaces what no longer value has claimed.
+_PAIRS = "pr AS (SELECT project_id, list(struct_pack(o := original, r := coalesce(nullif(replacement, ''), placeholder)) ORDER BY length(original) DESC, ord, candidate_id) AS ps FROM (SELECT DISTINCT ON (project_id, original) * FROM (SELECT DISTINCT ON (project_id, candidate_id) * FROM mapping_items ORDER BY project_id, candidate_id) ORDER BY project_id, original, ord) WHERE original <> '' GROUP BY 1)"
+
+
+def sql_redacted(text: str, pairs: str) -> str:
+    """Replacement by cutting: pieces of text that nothing has claimed are split at each value in turn, longest first. A piece is
+    (t, done); splitting and gluing lists is all that happens, so it shares nothing with a search by an automaton."""
+    cut = "list_filter(flatten(list_transform(range(1, len(string_split(p.t, v.o)) + 1), lambda i: [struct_pack(t := string_split(p.t, v.o)[i], done := false), struct_pack(t := CASE WHEN i < len(string_split(p.t, v.o)) THEN v.r ELSE '' END, done := true)])), lambda q: q.t <> '')"
+    return f"(SELECT string_agg(q.t, '') FROM (SELECT unnest(list_reduce(list_concat([[struct_pack(t := {text}, done := false)]], list_transform(list_filter({pairs}, lambda v: contains({text}, v.o)), lambda v: [struct_pack(t := v.o || chr(1) || v.r, done := true)])), lambda acc, w: flatten(list_transform(acc, lambda p: CASE WHEN p.done THEN [p] ELSE {cut.replace('v.o', 'string_split(w[1].t, chr(1))[1]').replace('v.r', 'string_split(w[1].t, chr(1))[2]')} END)))) AS q))"
+
+
+@query("redact_documents", f"WITH {_PAIRS} SELECT d.project_id, doc_id, CASE WHEN text = '' OR ps IS NULL THEN text ELSE {sql_redacted('text', 'ps')} END AS text FROM (SELECT DISTINCT project_id, doc_id, text FROM documents WHERE project_id IS NOT NULL) d LEFT JOIN pr ON pr.project_id = d.project_id")
 def redact_documents(spark, d):
     """Documents with the values of their project's mapping replaced."""
     t = load(spark, d, "documents").filter("project_id is not null").select("project_id", "doc_id", "text")
@@ -246,7 +259,12 @@ def restore_roundtrip(spark, d):
     return back.withColumnRenamed("text", "back").join(t.select("doc_id", "text"), "doc_id").select("doc_id", (F.col("back") == F.col("text")).alias("same"))
 
 
-@query("redact_cells")
+@query(
+    "redact_cells",
+    f"WITH {_PAIRS}, c AS (SELECT block_key, project_id, unnest(range(1, len(structure.cells) + 1)) AS pos, unnest(structure.cells) AS cell FROM (SELECT DISTINCT ON (block_key) * FROM redacted_text_blocks WHERE structure.cells IS NOT NULL)), "
+    f"w AS (SELECT block_key, pos, cell.ref AS ref, cell.text AS text, ps FROM c LEFT JOIN pr ON pr.project_id = c.project_id), r AS (SELECT block_key, pos, ref, CASE WHEN text = '' OR ps IS NULL THEN text ELSE {sql_redacted('text', 'ps')} END AS text FROM w) "
+    "SELECT block_key, string_agg(ref || '=' || coalesce(text, ''), '|' ORDER BY pos) AS cells FROM r GROUP BY 1",
+)
 def redact_cells(spark, d):
     """The cells of table rows with their texts replaced."""
     b = load(spark, d, "redacted_text_blocks").dropDuplicates(["block_key"])

@@ -21,6 +21,7 @@ def build_session(cores: str = "8", app: str = "veilspark", memory: str = "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="veilspark-checkpoint-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -61,12 +62,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set, as in tests."""
+    """The shared folder named by the session. Only a local master, as in tests, may go without; its temporary folder would lose data on a cluster."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilspark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

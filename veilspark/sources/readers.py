@@ -83,19 +83,35 @@ def channels(files: DataFrame) -> DataFrame:
     return files.select("project_id", "file_ord", F.explode("channels").alias("kind", "count"))
 
 
-def read_dictionary(spark: SparkSession, path: str, project_id: str) -> DataFrame:
-    """(project_id, kind, value) of a JSON dictionary; a single text counts as a list of one, other values are passed over."""
+def channel_status(files: DataFrame) -> DataFrame:
+    """(project_id, file_ord, status, reason, kind, count): one row for each kind of channel, or one without kind for a file without any."""
+    return files.select("project_id", "file_ord", F.col("channel_status").alias("status"), F.col("channel_reason").alias("reason"), F.explode_outer("channels").alias("kind", "count"))
+
+
+def _json(spark: SparkSession, path: str) -> dict:
     import json
 
-    raw = json.loads(spark.read.text(path, wholetext=True).first()[0].lstrip("﻿"))
-    rows = [(project_id, str(k), str(v)) for k, vs in raw.items() for v in ([vs] if isinstance(vs, str) else vs if isinstance(vs, list) else []) if str(v).strip()]
-    return spark.createDataFrame(rows, "project_id string, kind string, value string")
+    return json.loads(spark.read.text(path, wholetext=True).first()[0].lstrip("\ufeff"))
 
 
-def read_decisions(spark: SparkSession, path: str, project_id: str) -> DataFrame:
-    """(project_id, candidate_id, action, strategy) of a JSON file of decisions."""
+def _for_projects(spark: SparkSession, rows: list[tuple], columns: list[str], projects: str | DataFrame) -> DataFrame:
+    """The rows of one control file for one project, or for each project of a frame."""
+    schema = ", ".join(f"{c} string" for c in columns)
+    if isinstance(projects, str):
+        return spark.createDataFrame([(projects, *r) for r in rows], f"project_id string, {schema}")
     import json
 
-    raw = json.loads(spark.read.text(path, wholetext=True).first()[0].lstrip("﻿"))
-    rows = [(project_id, str(k), v.get("action"), v.get("strategy")) for k, v in raw.items() if isinstance(v, dict)]
-    return spark.createDataFrame(rows, "project_id string, candidate_id string, action string, strategy string")
+    given = F.from_json(F.lit(json.dumps([dict(zip(columns, r)) for r in rows])), f"array<struct<{', '.join(f'{c}:string' for c in columns)}>>")
+    return projects.select("project_id").distinct().select("project_id", F.inline(given))
+
+
+def read_dictionary(spark: SparkSession, path: str, projects: str | DataFrame) -> DataFrame:
+    """(project_id, kind, value) of a JSON dictionary; a single text counts as a list of one, other values are passed over."""
+    rows = [(str(k), str(v)) for k, vs in _json(spark, path).items() for v in ([vs] if isinstance(vs, str) else vs if isinstance(vs, list) else []) if str(v).strip()]
+    return _for_projects(spark, rows, ["kind", "value"], projects)
+
+
+def read_decisions(spark: SparkSession, path: str, projects: str | DataFrame) -> DataFrame:
+    """(project_id, candidate_id, action, strategy) of a JSON file of decisions."""
+    rows = [(str(k), v.get("action"), v.get("strategy")) for k, v in _json(spark, path).items() if isinstance(v, dict)]
+    return _for_projects(spark, rows, ["candidate_id", "action", "strategy"], projects)

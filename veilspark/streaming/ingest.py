@@ -49,7 +49,8 @@ def redact_stream(texts: DataFrame, store: str, out: str, checkpoint: str, once:
 
 
 def _stored(spark: SparkSession, store: str, fields: str) -> DataFrame:
-    try:
-        return spark.read.schema(fields).parquet(store)
-    except Exception:  # nothing stored yet
+    """What is stored so far. Only a missing folder means nothing; any other failure must rise, as numbering would begin again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], fields)
+    return spark.read.schema(fields).parquet(store)
