@@ -46,13 +46,22 @@ def test_each_text_meets_its_own_project(spark):
     assert back.first()["text"] == "甲与甲"
 
 
-def test_hot_project_is_split(spark, monkeypatch):
+def test_a_hot_project_with_values_of_all_lengths(spark, monkeypatch):
+    """Against replacing by brute force, with a bitmap of few slots, so that most grams pass it."""
+    import random
+
     import veilspark.operators.redact as r
 
-    monkeypatch.setattr(r, "GROUP_ROWS", 5)
-    t = spark.createDataFrame([("p", i, f"甲{i}") for i in range(40)], "project_id string, k int, text string")
-    got = r.redact(t, spark.createDataFrame([("p", 1, "甲", "A", "A")], ITEM), "project_id", "k", "text").collect()
-    assert sorted(x["text"] for x in got) == sorted(f"A{i}" for i in range(40))
+    monkeypatch.setattr(r, "MOST_SLOT_BITS", 16)
+    rnd = random.Random(1)
+    word = lambda n: "".join(rnd.choice("甲乙丙丁ab1") for _ in range(n))
+    values = {p: sorted({word(rnd.randrange(1, 9)) for _ in range(60)} | {"甲"}) for p in ("p", "q", None)}
+    items = [(p, i, v, f"<{i}>", f"<{i}>") for p, vs in values.items() for i, v in enumerate(vs)]
+    texts = [(rnd.choice(["p", "p", "p", "q", "none", None]), i, word(rnd.randrange(0, 60))) for i in range(300)] + [("p", 300, None), ("p", 0, None)]
+    t = spark.createDataFrame(texts, "project_id string, k int, text string")
+    got = r.redact(t, spark.createDataFrame(items, ITEM), "project_id", "k", "text").collect()
+    want = [(p, k, x if x is None else Replacer([(v, n) for q, _, v, _, n in items if q == p])(x)) for p, k, x in texts]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
 def test_present_values(spark):

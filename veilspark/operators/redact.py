@@ -1,21 +1,27 @@
 """Replacement of values in texts, and its inverse.
 
 Values claim text longest first, so parts of a longer value are never replaced on their own; a value is searched left to right and goes on
-behind each hit, also where the hit was already claimed. Every text meets only its own project's values: texts are salted into groups of
-bounded size, values go to each group of their project, and each group is searched by one automaton, in one pass over each text.
+behind each hit, also where the hit was already claimed. Every text meets only those of its project's values that it can hold: values are
+joined with texts on their rarest gram, then found exactly, and claimed in each text.
 
 Defined results: null and empty texts stay; values of null or no length claim nothing; of equal long values the one listed first wins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of one project that are searched together.
-GROUP_ROWS = 4000
+from veilspark.session import cut, spread
+
+#: Characters of a gram; shorter values are grams of their own length.
+GRAM = 4
+#: The bitmap that screens the grams of texts has 16 MB at most, whatever the number of values.
+MOST_SLOT_BITS = 27
 
 
 def claim_spans(text: str, pairs: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
@@ -83,54 +89,134 @@ class Replacer:
         return apply_spans(text, self.spans(text)) if text else text
 
 
-def with_values(texts: DataFrame, values: DataFrame, project: str, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``run`` over each group of a project's texts together with all of its values; groups without values come with an empty frame."""
-    salted = texts.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in texts.columns]), F.lit(1 << 30)))
-    groups = texts.groupBy(project).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_groups"))
-    same = lambda a, b: F.col(f"{a}.{project}").eqNullSafe(F.col(f"{b}.{project}"))
-    t = salted.alias("t").join(groups.alias("g"), same("t", "g")).select("t.*", (F.col("t._salt") % F.col("g._groups")).cast("int").alias("_group")).drop("_salt")
-    v = values.alias("v").join(groups.alias("g"), same("v", "g")).select("v.*", F.explode(F.sequence(F.lit(0), F.col("g._groups") - 1)).alias("_group"))
-    v = v.toDF(*v.columns)  # columns of its own, where texts and values come from one frame
-    return t.groupBy(project, "_group").cogroup(v.groupBy(project, "_group")).applyInPandas(lambda a, b: run(a.drop(columns="_group"), b), schema)
-
-
-def _pairs(v: pd.DataFrame, restore: bool) -> list[tuple[str, str]]:
-    v = v.sort_values("ord", kind="stable") if "ord" in v else v
+def grams(strings: list[str], seeds: list[int], sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the windows of 1 to ``GRAM`` characters of each string under its seed; with ``sizes``, of one size for each string."""
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, strings), np.int64, len(strings))
+    row = np.repeat(np.arange(len(strings)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters from here to the end of the string
+    seed = np.array(seeds, np.uint64)[row] if len(row) else codes
+    rows, hashes, h = [], [], seed
+    for size in range(1, GRAM + 1):
+        n = len(codes) - size + 1
+        if n <= 0:
+            break
+        h = h.copy()
+        h[:n] = h[:n] * np.uint64(1_000_003) + codes[size - 1 :]
+        keep = left >= size
+        if sizes is not None:
+            keep &= np.array(sizes)[row] == size
+        x = (h[keep] + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        rows.append(row[keep])
+        hashes.append(x ^ (x >> np.uint64(32)))
+    return np.concatenate([row[:0], *rows]), np.concatenate([codes[:0], *hashes])
+
+
+def _seed(project: str | None) -> int:
+    return zlib.crc32(repr(project).encode())
+
+
+def _anchors(values: DataFrame) -> DataFrame:
+    """(h, p, v, m) of (p, v, m): each value of a project under its rarest gram, which every text that holds the value has too."""
+    kind = values.schema["p"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            vs = pdf["v"].tolist()
+            row, h = grams(vs, [_seed(p) for p in pdf["p"].tolist()], [min(GRAM, len(v)) for v in vs])
+            yield pd.DataFrame({"p": pdf["p"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "h": h.view(np.int64)})
+
+    of = values.select("p", "v").mapInPandas(run, f"p {kind}, v string, h long")
+    rarest = of.join(of.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("p", "v").agg(F.min_by("h", F.struct("n", "h")).alias("h"))
+    same = F.col("r.p").eqNullSafe(F.col("w.p")) & (F.col("r.v") == F.col("w.v"))
+    return rarest.alias("r").join(values.alias("w"), same).select("r.h", "w.p", "w.v", "w.m")
+
+
+def _bitmap(anchors: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits of a slot, which slots the anchors take): sixteen slots an anchor up to ``2 ** MOST_SLOT_BITS``, so its size is bounded; packed
+    block by block before the driver."""
+    width = min(MOST_SLOT_BITS, max(16, (16 * anchors.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - width)
+    of = anchors.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(0xFFFF).cast("int").alias("at"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits = [np.packbits(np.bincount(np.asarray(at), minlength=1 << 16) > 0, bitorder="little").tobytes() for at in pdf["at"]]
+            yield pd.DataFrame({"block": pdf["block"], "bits": bits})
+
+    bits = np.zeros((1 << width - 16, 1 << 13), np.uint8)
+    for r in of.groupBy("block").agg(F.collect_set("at").alias("at")).mapInPandas(pack, "block int, bits binary").collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return width, bits.reshape(-1)
+
+
+def with_candidates(texts: DataFrame, values: DataFrame, project: str, text: str, value: str, more: list[str]) -> DataFrame:
+    """The texts with an array ``_found`` of (value, m), m the rows (*more) of the value, of their project: all values that they can hold, few that they do not.
+
+    Values meet texts on their rarest gram. A text's grams are screened by a bitmap of fixed size before they travel, so what is shuffled
+    follows the texts and their hits, not texts times values; values never go where no text can hold them."""
+    v = values.filter(F.length(value) > 0).groupBy(F.col(project).alias("p"), F.col(value).alias("v")).agg(F.collect_list(F.struct(F.lit(0).alias("_"), *more)).alias("m"))
+    anchors = cut(_anchors(v))
+    ship = texts.sparkSession.sparkContext.broadcast(_bitmap(anchors))
+    kind = texts.schema[project].dataType.simpleString()
+    # Equal rows have one id; a chance collision within a project only offers values that the search does not find.
+    x = spread(texts).withColumn("_id", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in texts.columns]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width, bits = ship.value
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):  # a bounded stretch of texts at a time
+                part = pdf.iloc[at : at + 256]
+                row, h = grams(part["t"].tolist(), [_seed(p) for p in part["p"].tolist()])
+                s = (h >> np.uint64(64 - width)).astype(np.int64)
+                keep = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+                row, h = row[keep], h[keep].view(np.int64)
+                yield pd.DataFrame({"p": part["p"].to_numpy()[row], "i": part["i"].to_numpy()[row], "h": h}).drop_duplicates()
+
+    hits = x.filter(F.length(text) > 0).select(F.col(project).alias("p"), F.col("_id").alias("i"), F.col(text).alias("t")).mapInPandas(run, f"p {kind}, i long, h long")
+    met = hits.alias("x").join(anchors.alias("a"), (F.col("x.h") == F.col("a.h")) & F.col("x.p").eqNullSafe(F.col("a.p"))).select("x.i", F.col("a.p").alias("ap"), F.col("a.v").alias(value), "a.m")
+    found = met.groupBy("i", "ap").agg(F.collect_set(F.struct(value, "m")).alias("_found"))
+    return x.join(found, (x["_id"] == found["i"]) & x[project].eqNullSafe(found["ap"]), "left").drop("_id", "i", "ap")
+
+
+def _pairs(found: list) -> list[tuple[str, str]]:
+    """Values and what they become, in the order of the mapping."""
+    rows = [(m["ord"] is None, m["ord"] or 0, m["step"], r["value"], m["new"]) for r in found for m in r["m"]]
+    return [(v, new) for *_, v, new in sorted(rows, key=lambda r: r[:3])]
+
+
+def _values(items: DataFrame, project: str, restore: bool) -> DataFrame:
+    """(project, value, new, ord, step) of a mapping or, with ``restore``, of its inverse: longer forms with a range before bare placeholders."""
+    i = items.select(F.col("project_id").alias(project), "ord", "original", "replacement", "placeholder")
+    new = F.coalesce(F.nullif("replacement", F.lit("")), "placeholder")
     if not restore:
-        return [(o, r or p) for o, r, p in zip(v["original"], v["replacement"], v["placeholder"]) if o]
-    both = [(r, o) for o, r, p in zip(v["original"], v["replacement"], v["placeholder"]) if r and r != p] + [(p, o) for o, p in zip(v["original"], v["placeholder"]) if p]
-    return [(a, b) for a, b in both if a and b is not None]
+        return i.select(project, F.col("original").alias("value"), new.alias("new"), "ord", F.lit(0).alias("step")).filter("value <> ''")
+    i = i.filter("original is not null")
+    ranged = i.filter("replacement <> '' and not (replacement <=> placeholder)").select(project, F.col("replacement").alias("value"), F.col("original").alias("new"), "ord", F.lit(0).alias("step"))
+    return ranged.unionByName(i.filter("placeholder <> ''").select(project, F.col("placeholder").alias("value"), F.col("original").alias("new"), "ord", F.lit(1).alias("step")))
 
 
 def redact(texts: DataFrame, items: DataFrame, project: str, key: str, text: str, restore: bool = False) -> DataFrame:
     """(project, key, text): each text with its project's originals replaced, or, with ``restore``, the placeholders put back."""
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        change = Replacer(_pairs(b, restore))
-        return pd.DataFrame({project: a[project], key: a[key], "text": [change(t) if isinstance(t, str) else None for t in a[text]]})
 
-    t = texts.select(project, key, text)
-    schema = f"`{project}` {t.schema[project].dataType.simpleString()}, `{key}` {t.schema[key].dataType.simpleString()}, text string"
-    v = items.select("project_id", "ord", "original", "replacement", "placeholder")
-    v = v.withColumnRenamed("project_id", project) if project != "project_id" else v
-    return with_values(t, v, project, run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            new = [t if found is None or not isinstance(t, str) else Replacer(_pairs(found))(t) for t, found in zip(pdf["text"].tolist(), pdf["_found"].tolist())]
+            yield pdf[["p", "k"]].assign(text=pd.Series(new, dtype=object, index=pdf.index))
+
+    t = texts.select(F.col(project).alias("p"), F.col(key).alias("k"), F.col(text).alias("text"))
+    x = with_candidates(t, _values(items, "p", restore), "p", "text", "value", ["new", "ord", "step"])
+    schema = f"p {t.schema['p'].dataType.simpleString()}, k {t.schema['k'].dataType.simpleString()}, text string"
+    return x.select("p", "k", "text", "_found").mapInPandas(run, schema).toDF(project, key, "text")
 
 
 def present_values(texts: DataFrame, values: DataFrame, project: str, text: str, value: str) -> DataFrame:
-    """(project, value) of the values that stand in at least one text of their project: the contains join, one pass over each text."""
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        search = Replacer([(v, "") for v in b[value] if v])
-        found: set[str] = set()
-        if search.pairs:
-            for t in a[text]:
-                if not isinstance(t, str):
-                    continue
-                found.update(search.pairs[i][0] for _, i in search.auto.iter(t))
-        of = a[project].iloc[0] if len(a) else None
-        return pd.DataFrame({project: pd.Series([of] * len(found), dtype=object), value: pd.Series(sorted(found), dtype=object)})
-
-    t = texts.select(project, text).filter(F.col(text).isNotNull())
-    v = values.select(project, value).filter(F.length(value) > 0).distinct()
-    return with_values(t, v, project, run, f"`{project}` {t.schema[project].dataType.simpleString()}, `{value}` string").distinct()
+    """(project, value) of the values that stand in at least one text of their project: the contains join."""
+    t = texts.select(F.col(project).alias("p"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
+    x = with_candidates(t, values.select(F.col(project).alias("p"), F.col(value).alias("value")).distinct(), "p", "text", "value", [])
+    found = x.select("p", "text", F.explode("_found").alias("f")).select("p", F.when(F.contains("text", F.col("f.value")), F.col("f.value")).alias("v"))
+    return found.filter("v is not null").distinct().toDF(project, value)
 
 
 def redact_runs(runs: list[str], pairs: list[tuple[str, str]]) -> list[str]:
