@@ -21,7 +21,7 @@ def flagship_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The public package of every project."""
     r = _redaction(spark, sf_dir)
-    p = public_package(r, "doc_id", None, load(spark, sf_dir, "decisions"), load(spark, sf_dir, "dictionary"))
+    p = public_package(r, "doc_id", None, load(spark, sf_dir, "decisions"))
     return p.selectExpr("project_id", "schema_version", "block_count", "residual_scan.checked", "residual_scan.hits", "residual_scan.status", "impact.overall_level", "flags.benefit_factors_preserved", "facts.patent_count", "cardinality(field_stats) as kinds")
 
 
