@@ -99,3 +99,25 @@ def test_stream(spark, tmp_path):
     q = d.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["original"] for r in spark.sql("select * from seen").collect()} == {"王小明", "李大同"}
+
+
+def test_allowed_expressions_and_private_files(spark, tmp_path):
+    from veilspark.operators import crypto
+
+    df = spark.createDataFrame([(1, "ok\nsecret = service_secret_of_app\napi_key: 'abcdefghijklmnop' secret = service_secret_of_app")], "k int, t string")
+    assert [r["line"] for r in governance.secret_scan(df, "k", "t").collect()] == [2, 3]
+    assert [r["line"] for r in governance.secret_scan(df, "k", "t", ["secret = service_secret_of_app"]).collect()] == [3]
+    plain = tmp_path / "m.json"
+    plain.write_text("{}")
+    crypto.write_private(str(tmp_path / "m.enc"), {"a": 1}, str(plain))
+    assert not plain.exists() and (tmp_path / "m.enc").stat().st_mode & 0o77 == 0
+
+
+def test_streaming_store_that_cannot_be_read_rises(spark, tmp_path):
+    from veilspark.streaming.ingest import _stored
+
+    assert _stored(spark, str(tmp_path / "none"), "a string").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        _stored(spark, str(tmp_path / "bad"), "a string").count()

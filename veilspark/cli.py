@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         pairs = [(i["replacement"], i["original"]) for i in items if i["replacement"] != i["placeholder"]] + [(i["placeholder"], i["original"]) for i in items]
         sys.stdout.write(redact.Replacer(pairs)(open(a.text, encoding="utf-8").read()))
     elif a.command == "encrypt":
-        crypto.write_private(a.out, crypto.encrypt(spark, json.load(open(a.mapping, encoding="utf-8")), _passphrase(a.passphrase_fd)))
+        crypto.write_private(a.out, crypto.encrypt(spark, json.load(open(a.mapping, encoding="utf-8")), _passphrase(a.passphrase_fd)), a.mapping)
     elif a.command == "decrypt":
         crypto.write_private(a.out, crypto.decrypt(spark, json.load(open(a.mapping, encoding="utf-8")), _passphrase(a.passphrase_fd)))
     elif a.command == "scan":

@@ -38,7 +38,7 @@ def encrypt(spark: SparkSession, payload: dict, passphrase: str, rounds: int = R
     key = _key(passphrase, salt, rounds)
     head = b"\x80" + struct.pack(">Q", int(time.time())) + _aes(spark, json.dumps(payload, ensure_ascii=False).encode(), key[16:], iv)
     token = base64.urlsafe_b64encode(head + hmac.digest(key[:16], head, "sha256"))
-    return {"schema_version": SCHEMA, "algorithm": "fernet", "kdf": "pbkdf2_hmac_sha256", "rounds": rounds, "salt": base64.b64encode(salt).decode(), "ciphertext": token.decode()}
+    return {"schema_version": SCHEMA, "created_at": time.strftime("%Y-%m-%dT%H:%M:%S"), "algorithm": "fernet", "kdf": "pbkdf2_hmac_sha256", "rounds": rounds, "salt": base64.b64encode(salt).decode(), "ciphertext": token.decode()}
 
 
 def decrypt(spark: SparkSession, envelope: dict, passphrase: str) -> dict:
@@ -46,7 +46,7 @@ def decrypt(spark: SparkSession, envelope: dict, passphrase: str) -> dict:
     schema = str(envelope.get("schema_version", ""))
     if "tag" in envelope:
         return _legacy(envelope, passphrase)
-    if envelope.get("algorithm") != "fernet":
+    if envelope.get("algorithm") != "fernet" or schema not in ("", SCHEMA):
         raise ValueError(f"unsupported encrypted mapping: {schema}")
     key = _key(passphrase, base64.b64decode(envelope["salt"]), int(envelope.get("rounds") or ROUNDS))
     token = base64.urlsafe_b64decode(envelope["ciphertext"])
@@ -64,9 +64,11 @@ def _legacy(envelope: dict, passphrase: str) -> dict:
     return json.loads(bytes(a ^ b for a, b in zip(data, stream)))
 
 
-def write_private(path: str, envelope: dict) -> None:
-    """Writes beside the target and renames, so a reader sees the old file or the new one."""
+def write_private(path: str, envelope: dict, plain: str | None = None) -> None:
+    """Writes beside the target, for the owner only, and renames, so a reader sees the old file or the new one; then removes the ``plain`` source."""
     temporary = f"{path}.part"
-    with open(temporary, "w", encoding="utf-8") as f:
+    with os.fdopen(os.open(temporary, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8") as f:
         json.dump(envelope, f, ensure_ascii=False, indent=2)
     os.replace(temporary, path)
+    if plain and os.path.realpath(plain) != os.path.realpath(path):
+        os.unlink(plain)

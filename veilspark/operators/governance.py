@@ -13,8 +13,12 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines that hold a key or a password, and names of files that must not be published (fixed values).
 SECRET_PATTERNS = [r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)(api[_-]?key|secret|smtp[_-]?password)\s*[:=]\s*['\"]?[A-Za-z0-9_\-]{12,}"]
-NAME_PATTERNS = [r"(?i)(^|[/\\])\.release", r"(?i)local_mapping\.private", r"(?i)private[_-]?key", r"(?i)secret", r"(?i)\.env$", r"(?i)\.(pem|key)$"]
+NAME_PATTERNS = [
+    r"(?i)(^|[/\\])\.release", r"(?i)local_mapping\.private", r"(?i)trial_usage_.*\.json$", r"(?i)registration_request\.json$", r"(?i)registration_mailto\.txt$",
+    r"(?i)(^|[/\\])license\.json$", r"(?i)private[_-]?key", r"(?i)secret", r"(?i)\.env$", r"(?i)\.(pem|key)$",
+]
 GUARDRAILS = ["本地映射表不得上传", "金额字段不默认清空", "技术指标和验证阶段默认保留"]
 RULES_SCHEMA = "document_redaction_rules_manifest.v1"
 
@@ -23,10 +27,13 @@ def has_secret(line: Column) -> Column:
     return line.rlike("|".join(f"(?:{p})" for p in SECRET_PATTERNS))
 
 
-def secret_scan(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line): the numbers of lines that look like a key or a password."""
+def secret_scan(df: DataFrame, key: str, text: str, allowed: list[str] | None = None) -> DataFrame:
+    """(key, line): the numbers of lines that look like a key or a password, apart from the expressions that are ``allowed`` in them."""
     x = df.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\r\n|\r|\n")).alias("pos", "l"))
-    return x.filter(has_secret(F.col("l"))).select(key, (F.col("pos") + 1).alias("line"))
+    line = F.col("l")
+    for a in allowed or []:
+        line = F.replace(line, F.lit(a), F.lit(""))
+    return x.filter(has_secret(line)).select(key, (F.col("pos") + 1).alias("line"))
 
 
 def blocked_names(df: DataFrame, path: str) -> DataFrame:

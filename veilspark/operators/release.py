@@ -30,6 +30,7 @@ def file_gate(file_type: Column, parser_status: Column, channel_status: Column,
         F.when(kind == "pdf", "pdf_external_release_disabled")
         .when(F.coalesce(parser_status, F.lit("")) != "ok", "source_parse_not_ok")
         .when(~F.coalesce(channel_status, F.lit("")).isin("clear", "found"), "hidden_channels_unverified")
+        .when(F.array_contains(bad, "external_relationship"), "external_relationship")
         .when(F.size(bad) > 0, F.array_min(bad))
         .when(kind.isin(*OFFICE_TYPES), F.lit(None if writer else "rewrite_or_validation_failed"))
         .when(~kind.isin(*TEXT_TYPES), "unsupported")
