@@ -1,8 +1,8 @@
 """Which address records denote the same place.
 
 Each record is read into number, street, kind of way, town and, where they stand, district and province; ideographs are read as syllables
-so that romanised records and misspelt homophones meet. Distinct readings are banded by MinHash over the q-grams of street and town, with
-the number token in each band; candidates are verified by an affine-gap alignment of their tokens, whose substitutions know the
+so that romanised records and misspelt homophones meet. Distinct readings are banded by MinHash over the q-grams and tokens of street and town,
+two rows a band, with the number token in each; candidates are verified by an affine-gap alignment of their tokens, whose substitutions know the
 abbreviations of ways and cost edits otherwise. Records of one reading are classed before banding, so copies are not compared.
 
 Defined results: records without key, and null, empty and unreadable ones (without number, street or town) match nothing; floors, rooms, buildings, postcodes,
@@ -28,7 +28,7 @@ KIND = {a: row.split()[0] for row in WAYS for a in row.split()}
 PROVINCES = "北京 天津 上海 重庆 河北 山西 辽宁 吉林 黑龙江 江苏 浙江 安徽 福建 江西 山东 河南 湖北 湖南 广东 海南 四川 贵州 云南 陕西 甘肃 青海 台湾 内蒙古 广西 西藏 宁夏 新疆 香港 澳门".split()
 _ROMAN_PROVINCES = set("beijing tianjin shanghai chongqing hebei shanxi liaoning jilin heilongjiang jiangsu zhejiang anhui fujian jiangxi shandong henan hubei hunan guangdong hainan sichuan guizhou yunnan shaanxi gansu qinghai taiwan guangxi ningxia xinjiang tibet".split())
 GAP_OPEN, GAP_EXTEND, ACCEPT = 0.7, 0.35, 0.75
-BANDS, GRAM = 16, 3
+BANDS, ROWS, GRAM = 24, 2, 3
 #: Letters from which a token is long.
 LONG = 40
 
@@ -196,9 +196,9 @@ def same_place(x: tuple, y: tuple) -> bool:
 
 def _bands(number: int, street: str, town: str, seeds: np.ndarray) -> list[int]:
     s = f"^{street}$^{town}$"
-    grams = {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}
+    grams = {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)} | {f"token {street}", f"token {town}"}
     h = np.array([hash_text(g) for g in grams], np.uint64)
-    mins = ((h[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)).min(axis=1)
+    mins = ((h[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17)).min(axis=1).reshape(BANDS, ROWS)
     return [hash_text(f"{number}|{i}|{m}") & 0x7FFFFFFFFFFFFFFF for i, m in enumerate(mins.tolist())]
 
 
@@ -258,7 +258,7 @@ def same_places(df: DataFrame, key: str, text: str) -> DataFrame:
     forms = r.select("form", *_FIELDS).dropDuplicates(["form"])
 
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds = np.array([hash_text(f"band {i}") for i in range(BANDS)], np.uint64)
+        seeds = np.array([hash_text(f"band {i}") for i in range(BANDS * ROWS)], np.uint64)
         for pdf in batches:
             rows = [(f, b) for f, n, s, t in zip(pdf["form"], pdf["number"], pdf["street"], pdf["town"]) for b in _bands(n, s, t, seeds)]
             yield pd.DataFrame(rows, columns=["form", "band"])
