@@ -39,7 +39,8 @@ BLOCK_CHARS = 4_000_000
 
 _DROP = re.compile(r"[\W_]+")
 _BASE = 1_000_003
-_BITS = 22
+#: Bits of a slot at most: a bitmap has sixteen slots for each window of its items up to 32 MB.
+_MOST_BITS = 25
 
 
 def plain(text: str) -> str:
@@ -64,8 +65,8 @@ def running_hashes(s: str) -> dict[str, np.ndarray]:
     return out
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _BITS)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _prefix_sums(s: str) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +179,13 @@ class ItemIndex:
         self.text = {k: s for k, t in items if (s := plain(t))}
         self.kind = {k: script(s) for k, s in self.text.items()}
         self.short = {k for k, s in self.text.items() if len(s) < 2 * SEED[self.kind[k]]}
-        self.bitmap = {g: np.zeros(1 << _BITS, bool) for g in SEED}
+        size = {g: sum(len(s) for k, s in self.text.items() if self.kind[k] == g) for g in SEED}
+        self.bits = {g: min(_MOST_BITS, max(16, (16 * n).bit_length())) for g, n in size.items()}
+        self.bitmap = {g: np.zeros(1 << n, bool) for g, n in self.bits.items()}
         posted: dict[str, dict[int, set[int]]] = {g: defaultdict(set) for g in SEED}
         for k, s in self.text.items():
             h = running_hashes(s)[self.kind[k]]
-            self.bitmap[self.kind[k]][_slot(h)] = True
+            self.bitmap[self.kind[k]][_slot(h, self.bits[self.kind[k]])] = True
             for x in h.tolist():
                 posted[self.kind[k]][x].add(k)
         self.posted = {g: {x: tuple(v) for x, v in p.items()} for g, p in posted.items()}
@@ -214,7 +217,7 @@ class ItemIndex:
         for g, h in running_hashes(s).items():
             if not len(h):
                 continue
-            at = np.flatnonzero(self.bitmap[g][_slot(h)])
+            at = np.flatnonzero(self.bitmap[g][_slot(h, self.bits[g])])
             posted = self.posted[g]
             for p, x in zip(at.tolist(), h[at].tolist()):
                 for k in posted.get(x, ()):
