@@ -64,6 +64,25 @@ def test_a_hot_project_with_values_of_all_lengths(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def shuffled(spark) -> int:
+    """Bytes that all tasks so far have written for a shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in (lambda s: [s.apply(i) for i in range(s.size())])(sc.statusStore().executorList(False)))
+
+
+def test_values_travel_once_and_texts_without_hits_send_none(spark):
+    """20,000 values of 12 characters are 240 kB; no shuffle holds the grams of values, or grams of texts that pass the screen by chance."""
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    items = spark.createDataFrame([("p", i, word(12), f"<{i}>", f"<{i}>") for i in range(20_000)], ITEM)
+    texts = [("p", i, word(500)) for i in range(300)]
+    began = shuffled(spark)
+    got = redact(spark.createDataFrame(texts, "project_id string, k int, text string"), items, "project_id", "k", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(texts)
+    assert shuffled(spark) - began < 3_500_000
+
+
 def test_present_values(spark):
     t = spark.createDataFrame([("p", "甲乙丙"), ("p", None), ("q", "丁")], "project_id string, text string")
     v = spark.createDataFrame([("p", "乙"), ("p", "乙"), ("p", "丁"), ("q", "丁"), ("q", None), ("q", "")], "project_id string, value string")

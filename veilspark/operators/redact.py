@@ -8,8 +8,7 @@ Defined results: null and empty texts stay; values of null or no length claim no
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,10 @@ from veilspark.session import cut, spread
 GRAM = 4
 #: The bitmap that screens the grams of texts has 16 MB at most, whatever the number of values.
 MOST_SLOT_BITS = 27
+#: Odd factors, one for each slot of an anchor: with four slots of sixteen one gram in 400 passes by chance, with one slot one in 16.
+PROBES = [1, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+#: Counters of grams: 4 MB.
+COUNTER_BITS = 20
 
 
 def claim_spans(text: str, pairs: list[tuple[str, str]]) -> list[tuple[int, int, str]]:
@@ -89,13 +92,14 @@ class Replacer:
         return apply_spans(text, self.spans(text)) if text else text
 
 
-def grams(strings: list[str], seeds: list[int], sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the windows of 1 to ``GRAM`` characters of each string under its seed; with ``sizes``, of one size for each string."""
+def grams(strings: list[str], seeds: np.ndarray, sizes: list[int] | None = None, only: set[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the windows of 1 to ``GRAM`` characters of each string under its seed; with ``sizes``, of one size for each string,
+    and with ``only``, of these sizes."""
     codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     length = np.fromiter(map(len, strings), np.int64, len(strings))
     row = np.repeat(np.arange(len(strings)), length)
     left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters from here to the end of the string
-    seed = np.array(seeds, np.uint64)[row] if len(row) else codes
+    seed = seeds.view(np.uint64)[row] if len(row) else codes
     rows, hashes, h = [], [], seed
     for size in range(1, GRAM + 1):
         n = len(codes) - size + 1
@@ -103,6 +107,8 @@ def grams(strings: list[str], seeds: list[int], sizes: list[int] | None = None)
             break
         h = h.copy()
         h[:n] = h[:n] * np.uint64(1_000_003) + codes[size - 1 :]
+        if only is not None and size not in only:
+            continue
         keep = left >= size
         if sizes is not None:
             keep &= np.array(sizes)[row] == size
@@ -113,42 +119,80 @@ def grams(strings: list[str], seeds: list[int], sizes: list[int] | None = None)
     return np.concatenate([row[:0], *rows]), np.concatenate([codes[:0], *hashes])
 
 
-def _seed(project: str | None) -> int:
-    return zlib.crc32(repr(project).encode())
+def _gathered(parts: DataFrame, out: np.ndarray, merge: Callable[[pd.Series], np.ndarray]) -> np.ndarray:
+    """``out`` with the blocks of (block, part), each merged by an executor: no more comes to the driver, whatever the number of parts."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": [merge(pdf["part"]).tobytes()]})
+
+    for r in parts.groupBy("block").applyInPandas(run, "block int, part binary").toLocalIterator():
+        one = np.frombuffer(r["part"], out.dtype)
+        out[r["block"] * len(one) : (r["block"] + 1) * len(one)] = one
+    return out
 
-def _anchors(values: DataFrame) -> DataFrame:
-    """(h, p, v, m) of (p, v, m): each value of a project under its rarest gram, which every text that holds the value has too."""
-    kind = values.schema["p"].dataType.simpleString()
+
+def _counters(values: DataFrame) -> np.ndarray:
+    """About how often each gram stands in the values of a project, in counters of fixed number that grams share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(1 << COUNTER_BITS, np.int64)
         for pdf in batches:
-            vs = pdf["v"].tolist()
-            row, h = grams(vs, [_seed(p) for p in pdf["p"].tolist()], [min(GRAM, len(v)) for v in vs])
-            yield pd.DataFrame({"p": pdf["p"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "h": h.view(np.int64)})
+            n += np.bincount(_counter(_own_grams(pdf["v"].tolist(), pdf["s"])[1]), minlength=len(n))
+        blocks = n.clip(max=2**32 - 1).astype(np.uint32).reshape(-1, 1 << 12)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pd.DataFrame({"block": at, "part": [blocks[i].tobytes() for i in at]})
+
+    def merge(parts: pd.Series) -> np.ndarray:
+        return sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in parts).clip(max=2**32 - 1).astype(np.uint32)
+
+    return _gathered(values.select("v", "s").mapInPandas(run, "block int, part binary"), np.zeros(1 << COUNTER_BITS, np.uint32), merge)
+
+
+def _own_grams(values: list[str], seeds: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    return grams(values, seeds.to_numpy(), [min(GRAM, len(v)) for v in values])
+
+
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-    of = values.select("p", "v").mapInPandas(run, f"p {kind}, v string, h long")
-    rarest = of.join(of.groupBy("h").agg(F.count("*").alias("n")), "h").groupBy("p", "v").agg(F.min_by("h", F.struct("n", "h")).alias("h"))
-    same = F.col("r.p").eqNullSafe(F.col("w.p")) & (F.col("r.v") == F.col("w.v"))
-    return rarest.alias("r").join(values.alias("w"), same).select("r.h", "w.p", "w.v", "w.m")
+
+def _anchors(values: DataFrame) -> DataFrame:
+    """The values (p, v, s, m) with ``h``, the rarest gram of each by the counters; every text that holds the value has it too.
+
+    The counters may err, which costs time only: any gram of a value is in all texts that hold it."""
+    ship = values.sparkSession.sparkContext.broadcast(_counters(values))
+
+    def rarest(v: pd.Series, s: pd.Series) -> pd.Series:
+        row, h = _own_grams(v.tolist(), s)
+        order = np.lexsort((h, ship.value[_counter(h)], row))
+        return pd.Series(h[order][np.unique(row[order], return_index=True)[1]].view(np.int64))
+
+    return values.withColumn("h", F.pandas_udf(rarest, "long").asNondeterministic()("v", "s"))  # so that no filter computes it again
 
 
-def _bitmap(anchors: DataFrame) -> tuple[int, np.ndarray]:
-    """(bits of a slot, which slots the anchors take): sixteen slots an anchor up to ``2 ** MOST_SLOT_BITS``, so its size is bounded; packed
-    block by block before the driver."""
-    width = min(MOST_SLOT_BITS, max(16, (16 * anchors.count()).bit_length()))
-    slot = F.shiftrightunsigned("h", 64 - width)
-    of = anchors.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(0xFFFF).cast("int").alias("at"))
+def _slots(h: np.ndarray, probe: int, width: int) -> np.ndarray:
+    return ((h * np.uint64(PROBES[probe])) >> np.uint64(64 - width)).astype(np.int64)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _bitmap(anchors: DataFrame, many: int) -> tuple[int, np.ndarray]:
+    """(bits of a slot, which slots the anchors take): sixteen slots an anchor up to ``2 ** MOST_SLOT_BITS``, so its size is bounded. Each
+    anchor takes a slot by each of ``PROBES``; executors merge the blocks."""
+    width = min(MOST_SLOT_BITS, max(16, (16 * many).bit_length()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits = [np.packbits(np.bincount(np.asarray(at), minlength=1 << 16) > 0, bitorder="little").tobytes() for at in pdf["at"]]
-            yield pd.DataFrame({"block": pdf["block"], "bits": bits})
+            h = pdf["h"].to_numpy().view(np.uint64)
+            slots = np.unique(np.concatenate([_slots(h, k, width) for k in range(len(PROBES))]))
+            blocks, at = np.unique(slots >> 16, return_index=True)
+            yield pd.DataFrame({"block": blocks, "part": [x.astype(np.uint16).tobytes() for x in np.split(slots & 0xFFFF, at[1:])]})
 
-    bits = np.zeros((1 << width - 16, 1 << 13), np.uint8)
-    for r in of.groupBy("block").agg(F.collect_set("at").alias("at")).mapInPandas(pack, "block int, bits binary").collect():
-        bits[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    return width, bits.reshape(-1)
+    def merge(parts: pd.Series) -> np.ndarray:
+        taken = np.zeros(1 << 16, bool)
+        for x in parts:
+            taken[np.frombuffer(x, np.uint16)] = True
+        return np.packbits(taken, bitorder="little")
+
+    return width, _gathered(anchors.select("h").mapInPandas(run, "block int, part binary"), np.zeros(1 << width - 3, np.uint8), merge)
 
 
 def with_candidates(texts: DataFrame, values: DataFrame, project: str, text: str, value: str, more: list[str]) -> DataFrame:
@@ -157,24 +201,27 @@ def with_candidates(texts: DataFrame, values: DataFrame, project: str, text: str
     Values meet texts on their rarest gram. A text's grams are screened by a bitmap of fixed size before they travel, so what is shuffled
     follows the texts and their hits, not texts times values; values never go where no text can hold them."""
     v = values.filter(F.length(value) > 0).groupBy(F.col(project).alias("p"), F.col(value).alias("v")).agg(F.collect_list(F.struct(F.lit(0).alias("_"), *more)).alias("m"))
-    anchors = cut(_anchors(v))
-    ship = texts.sparkSession.sparkContext.broadcast(_bitmap(anchors))
+    v = cut(v.withColumn("s", F.xxhash64("p")))
+    anchors = _anchors(v)
+    many = v.agg(F.count("*").alias("n"), F.collect_set(F.least(F.length("v"), F.lit(GRAM))).alias("sizes")).first()
+    ship = texts.sparkSession.sparkContext.broadcast((*_bitmap(anchors, many["n"]), set(many["sizes"])))
     kind = texts.schema[project].dataType.simpleString()
     # Equal rows have one id; a chance collision within a project only offers values that the search does not find.
     x = spread(texts).withColumn("_id", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in texts.columns]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width, bits = ship.value
+        width, bits, sizes = ship.value
         for pdf in batches:
             for at in range(0, len(pdf), 256):  # a bounded stretch of texts at a time
                 part = pdf.iloc[at : at + 256]
-                row, h = grams(part["t"].tolist(), [_seed(p) for p in part["p"].tolist()])
-                s = (h >> np.uint64(64 - width)).astype(np.int64)
-                keep = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
-                row, h = row[keep], h[keep].view(np.int64)
-                yield pd.DataFrame({"p": part["p"].to_numpy()[row], "i": part["i"].to_numpy()[row], "h": h}).drop_duplicates()
-
-    hits = x.filter(F.length(text) > 0).select(F.col(project).alias("p"), F.col("_id").alias("i"), F.col(text).alias("t")).mapInPandas(run, f"p {kind}, i long, h long")
+                row, h = grams(part["t"].tolist(), part["s"].to_numpy(), only=sizes)
+                for k in range(len(PROBES)):
+                    s = _slots(h, k, width)
+                    keep = (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+                    row, h = row[keep], h[keep]
+                yield pd.DataFrame({"p": part["p"].to_numpy()[row], "i": part["i"].to_numpy()[row], "h": h.view(np.int64)}).drop_duplicates()
+
+    hits = x.filter(F.length(text) > 0).select(F.col(project).alias("p"), F.col("_id").alias("i"), F.xxhash64(project).alias("s"), F.col(text).alias("t")).mapInPandas(run, f"p {kind}, i long, h long")
     met = hits.alias("x").join(anchors.alias("a"), (F.col("x.h") == F.col("a.h")) & F.col("x.p").eqNullSafe(F.col("a.p"))).select("x.i", F.col("a.p").alias("ap"), F.col("a.v").alias(value), "a.m")
     found = met.groupBy("i", "ap").agg(F.collect_set(F.struct(value, "m")).alias("_found"))
     return x.join(found, (x["_id"] == found["i"]) & x[project].eqNullSafe(found["ap"]), "left").drop("_id", "i", "ap")
