@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from veilspark.operators.redact import Replacer, apply_spans, claim_spans, present_values, redact, redact_runs
+from veilspark.operators.redact import Replacer, apply_spans, claim_spans, present_values, redact, redact_cells, redact_runs
 
 ITEM = "project_id string, ord int, original string, replacement string, placeholder string"
 
@@ -83,6 +83,23 @@ def test_values_travel_once_and_texts_without_hits_send_none(spark):
     assert shuffled(spark) - began < 3_500_000
 
 
+def many_values(spark):
+    """20,000 values of a project as items, and a maker of random words."""
+    rnd = random.Random(2)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    return spark.createDataFrame([("p", i, word(12), f"<{i}>", f"<{i}>") for i in range(20_000)], ITEM), word
+
+
+def test_cells_without_hits_send_none(spark):
+    items, word = many_values(spark)
+    rows = [("p", i, ([(f"A{i}", word(100)), (f"B{i}", None)],)) for i in range(500)]
+    blocks = spark.createDataFrame(rows, "project_id string, k int, structure struct<cells: array<struct<ref: string, text: string>>>")
+    began = shuffled(spark)
+    got = {r["k"]: [tuple(c) for c in r["cells"]] for r in redact_cells(blocks, items, "project_id", "k").collect()}
+    assert got == {k: cells for _, k, (cells,) in rows}
+    assert shuffled(spark) - began < 3_500_000
+
+
 def test_present_values(spark):
     t = spark.createDataFrame([("p", "甲乙丙"), ("p", None), ("q", "丁")], "project_id string, text string")
     v = spark.createDataFrame([("p", "乙"), ("p", "乙"), ("p", "丁"), ("q", "丁"), ("q", None), ("q", "")], "project_id string, value string")
