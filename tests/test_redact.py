@@ -100,6 +100,14 @@ def test_cells_without_hits_send_none(spark):
     assert shuffled(spark) - began < 3_500_000
 
 
+def test_contains_join_sends_values_once(spark):
+    items, word = many_values(spark)
+    texts = spark.createDataFrame([("p", word(500)) for _ in range(300)], "project_id string, text string")
+    began = shuffled(spark)
+    assert present_values(texts, items.select("project_id", "original"), "project_id", "text", "original").count() == 0
+    assert shuffled(spark) - began < 2_800_000
+
+
 def test_present_values(spark):
     t = spark.createDataFrame([("p", "甲乙丙"), ("p", None), ("q", "丁")], "project_id string, text string")
     v = spark.createDataFrame([("p", "乙"), ("p", "乙"), ("p", "丁"), ("q", "丁"), ("q", None), ("q", "")], "project_id string, value string")
