@@ -29,6 +29,16 @@ def test_contexts_find_unknown_names_and_notations(spark):
     assert {k for k, kind in got if kind == "phone"} == {70, *range(100, 106), 110}
 
 
+def test_contexts_of_few_names_in_many_rows(spark):
+    """Two names that repeat make a context, however the rows are dealt."""
+    names = ["王建国", "李静洋"]
+    blocks = [(i, f"当班值守的是{names[i % 2]}，一切照旧。") for i in range(160)]
+    b = spark.createDataFrame(blocks, "block_key long, text string")
+    e = spark.createDataFrame([("person", n, None) for n in NAMES], "kind string, original string, placeholder_prefix string")
+    for parts in (1, 8):
+        assert {r["block_key"] for r in find_personal(b.repartition(parts), "block_key", "text", e).collect()} == {*range(160)}
+
+
 SHAPES = [
     ("a.b@c.example", "email"), ("写信 ａｂ＠lanqi.test 。", "email"), ("a.b [at] c[dot]example[dot]org", "email"), ("ann at lanqi dot example", "email"), ("kai1 @ x.example.com", "email"), ("采样率 25@50Hz", None), ("see rack @50Hz", None), ("work at the site.Then", None),
     ("电话13812345678，", "phone"), ("135.9490.5661", "phone"), ("(+86)14163970634", "phone"), ("0556-39202905", "phone"), ("（0768）63483247", "phone"), ("幺五三二三八八幺六六四", "phone"), ("编号20214419969", ""), ("运单 12114865582566 在途", ""), ("SN13812345678", None),

@@ -393,9 +393,8 @@ def learn_shapes(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def promising(edges: DataFrame) -> list[str]:
-    """Contexts in which names of many different letters stand; contexts that words of ordinary text share repeat the same few."""
-    names = edges.filter("slot = 'name'")
-    return sorted(r["p"] for r in names.groupBy("p").agg(F.countDistinct("i").alias("n"), F.count("*").alias("m")).filter("n >= 2 and n * n >= m").select("p").collect())
+    """All contexts in which a candidate for a name stands; whether persons do, only the second pass can tell, which sees what else stands there."""
+    return sorted(r["p"] for r in edges.filter("slot = 'name'").select("p").distinct().collect())
 
 
 def second_pass(blocks: DataFrame, key: str, text: str, letters: NameLetters, patterns: list[str]) -> DataFrame:
