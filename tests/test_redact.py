@@ -108,6 +108,15 @@ def test_contains_join_sends_values_once(spark):
     assert shuffled(spark) - began < 2_800_000
 
 
+def test_restoring_sends_values_once(spark):
+    items, word = many_values(spark)
+    texts = [("p", i, word(500)) for i in range(300)]
+    began = shuffled(spark)
+    got = redact(spark.createDataFrame(texts, "project_id string, k int, text string"), items.selectExpr("project_id", "ord", "'x' as original", "'' as replacement", "original as placeholder"), "project_id", "k", "text", restore=True)
+    assert sorted(map(tuple, got.collect())) == sorted(texts)
+    assert shuffled(spark) - began < 3_300_000
+
+
 def test_present_values(spark):
     t = spark.createDataFrame([("p", "甲乙丙"), ("p", None), ("q", "丁")], "project_id string, text string")
     v = spark.createDataFrame([("p", "乙"), ("p", "乙"), ("p", "丁"), ("q", "丁"), ("q", None), ("q", "")], "project_id string, value string")
