@@ -117,6 +117,20 @@ def test_restoring_sends_values_once(spark):
     assert shuffled(spark) - began < 3_300_000
 
 
+def test_what_is_replaced_is_computed_once(spark):
+    """Cells of blocks made distinct by an exchange, and texts restored behind their redaction: no such frame runs to tell its partitions."""
+    from veilspark.session import spread
+
+    sc = spark.sparkContext
+    sc.setJobGroup("spread", "spread")
+    try:
+        t = spread(spark.range(1000).selectExpr("id % 700 as k").dropDuplicates(["k"]))
+        assert len(sc.statusTracker().getJobIdsForGroup("spread")) == 0
+        assert t.count() == 700
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_present_values(spark):
     t = spark.createDataFrame([("p", "甲乙丙"), ("p", None), ("q", "丁")], "project_id string, text string")
     v = spark.createDataFrame([("p", "乙"), ("p", "乙"), ("p", "丁"), ("q", "丁"), ("q", None), ("q", "")], "project_id string, value string")

@@ -56,7 +56,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The frame over all cores where its files would keep most of them idle, as with one small file; else as it is.
 
-    Costly work on each text gains more than the exchange takes; tables of many files are never exchanged."""
+    Costly work on each text gains more than the exchange takes; tables of many files are never exchanged. A frame that holds an exchange
+    stays too: to ask an adaptive plan for its partitions would run it once more."""
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
