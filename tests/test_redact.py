@@ -100,6 +100,17 @@ def test_cells_without_hits_send_none(spark):
     assert shuffled(spark) - began < 3_500_000
 
 
+def test_cells_of_distinct_blocks_are_made_distinct_once(spark):
+    """2 MB of cells behind an exchange of their blocks, which goes over the wire once."""
+    word = many_values(spark)[1]
+    rows = [("p", i, ([(f"A{i}", word(1000))],)) for i in range(2000)]
+    blocks = spark.createDataFrame(rows, "project_id string, k int, structure struct<cells: array<struct<ref: string, text: string>>>")
+    began = shuffled(spark)
+    got = redact_cells(blocks.dropDuplicates(["k"]), spark.createDataFrame([("p", 1, "甲", "人员A", "人员A")], ITEM), "project_id", "k").collect()
+    assert {r["k"]: [tuple(c) for c in r["cells"]] for r in got} == {k: cells for _, k, (cells,) in rows}
+    assert shuffled(spark) - began < 7_000_000
+
+
 def test_contains_join_sends_values_once(spark):
     items, word = many_values(spark)
     texts = spark.createDataFrame([("p", word(500)) for _ in range(300)], "project_id string, text string")
