@@ -119,6 +119,17 @@ def test_contains_join_sends_values_once(spark):
     assert shuffled(spark) - began < 2_800_000
 
 
+def test_texts_that_hold_no_needle_do_not_travel(spark):
+    """2 MB of texts, of which one holds a value; the others are neither exchanged nor sorted."""
+    word = many_values(spark)[1]
+    texts = [("p", word(1000)) for _ in range(2000)] + [("p", "与甲乙丙丁戊"), ("q", "与甲乙丙丁戊")]
+    values = spark.createDataFrame([("p", "甲乙丙丁戊"), ("p", "己庚辛壬癸"), ("q", "己庚辛壬癸")], "project_id string, value string")
+    began = shuffled(spark)
+    got = present_values(spark.createDataFrame(texts, "project_id string, text string"), values, "project_id", "text", "value").collect()
+    assert [tuple(r) for r in got] == [("p", "甲乙丙丁戊")]
+    assert shuffled(spark) - began < 1_000_000
+
+
 def test_restoring_sends_values_once(spark):
     items, word = many_values(spark)
     texts = [("p", i, word(500)) for i in range(300)]

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.session import cut, spread
@@ -195,8 +195,9 @@ def _bitmap(anchors: DataFrame, many: int) -> tuple[int, np.ndarray]:
     return width, _gathered(anchors.select("h").mapInPandas(run, "block int, part binary"), np.zeros(1 << width - 3, np.uint8), merge)
 
 
-def with_candidates(texts: DataFrame, values: DataFrame, project: str, text: str, value: str, more: list[str]) -> DataFrame:
-    """The texts with an array ``_found`` of (value, m), m the rows (*more) of the value, of their project: all values that they can hold, few that they do not.
+def _candidates(texts: DataFrame, values: DataFrame, project: str, text: str, value: str, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The texts with ``_id``, and by (i, ap), their id and project, an array ``_found`` of (value, m), m the rows (*more) of the value: all
+    values that they can hold, few that they do not.
 
     Values meet texts on their rarest gram. A text's grams are screened by a bitmap of fixed size before they travel, so what is shuffled
     follows the texts and their hits, not texts times values; values never go where no text can hold them."""
@@ -223,8 +224,26 @@ def with_candidates(texts: DataFrame, values: DataFrame, project: str, text: str
 
     hits = x.filter(F.length(text) > 0).select(F.col(project).alias("p"), F.col("_id").alias("i"), F.xxhash64(project).alias("s"), F.col(text).alias("t")).mapInPandas(run, f"p {kind}, i long, h long")
     met = hits.alias("x").join(anchors.alias("a"), (F.col("x.h") == F.col("a.h")) & F.col("x.p").eqNullSafe(F.col("a.p"))).select("x.i", F.col("a.p").alias("ap"), F.col("a.v").alias(value), "a.m")
-    found = met.groupBy("i", "ap").agg(F.collect_set(F.struct(value, "m")).alias("_found"))
-    return x.join(found, (x["_id"] == found["i"]) & x[project].eqNullSafe(found["ap"]), "left").drop("_id", "i", "ap")
+    return x, met.groupBy("i", "ap").agg(F.collect_set(F.struct(value, "m")).alias("_found"))
+
+
+def _meet(x: DataFrame, found: DataFrame, project: str, how: str) -> DataFrame:
+    return x.join(found, (x["_id"] == found["i"]) & x[project].eqNullSafe(found["ap"]), how).drop("_id", "i", "ap")
+
+
+def _near(found: DataFrame) -> tuple[DataFrame, Column]:
+    """The candidates, written, and which texts may have some, by a bitmap of ids: where few texts have, the others need not travel."""
+    found = cut(found)
+    ship = found.sparkSession.sparkContext.broadcast(_bitmap(found.select(F.col("i").alias("h")), found.count()))
+
+    def may(i: pd.Series) -> pd.Series:
+        (width, bits), h, ok = ship.value, i.to_numpy().view(np.uint64), np.ones(len(i), bool)
+        for k in range(len(PROBES)):
+            s = _slots(h, k, width)
+            ok &= (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(ok)
+
+    return found, F.pandas_udf(may, "boolean")("_id")
 
 
 def _pairs(found: list) -> list[tuple[str, str]]:
@@ -253,7 +272,7 @@ def redact(texts: DataFrame, items: DataFrame, project: str, key: str, text: str
             yield pdf[["p", "k"]].assign(text=pd.Series(new, dtype=object, index=pdf.index))
 
     t = texts.select(F.col(project).alias("p"), F.col(key).alias("k"), F.col(text).alias("text"))
-    x = with_candidates(t, _values(items, "p", restore), "p", "text", "value", ["new", "ord", "step"])
+    x = _meet(*_candidates(t, _values(items, "p", restore), "p", "text", "value", ["new", "ord", "step"]), "p", "left")
     schema = f"p {t.schema['p'].dataType.simpleString()}, k {t.schema['k'].dataType.simpleString()}, text string"
     return x.select("p", "k", "text", "_found").mapInPandas(run, schema).toDF(project, key, "text")
 
@@ -261,9 +280,10 @@ def redact(texts: DataFrame, items: DataFrame, project: str, key: str, text: str
 def present_values(texts: DataFrame, values: DataFrame, project: str, text: str, value: str) -> DataFrame:
     """(project, value) of the values that stand in at least one text of their project: the contains join."""
     t = texts.select(F.col(project).alias("p"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
-    x = with_candidates(t, values.select(F.col(project).alias("p"), F.col(value).alias("value")).distinct(), "p", "text", "value", [])
-    found = x.select("p", "text", F.explode("_found").alias("f")).select("p", F.when(F.contains("text", F.col("f.value")), F.col("f.value")).alias("v"))
-    return found.filter("v is not null").distinct().toDF(project, value)
+    x, found = _candidates(t, values.select(F.col(project).alias("p"), F.col(value).alias("value")).distinct(), "p", "text", "value", [])
+    found, near = _near(found)
+    here = F.filter("_found.value", lambda v: F.contains("text", v))
+    return _meet(x.filter(near), found, "p", "inner").select("p", F.explode(here)).distinct().toDF(project, value)
 
 
 def redact_runs(runs: list[str], pairs: list[tuple[str, str]]) -> list[str]:
