@@ -111,6 +111,19 @@ def test_cells_of_distinct_blocks_are_made_distinct_once(spark):
     assert shuffled(spark) - began < 7_000_000
 
 
+def test_blocks_travel_once_and_count_once(spark):
+    """2 MB of cells in blocks that stand twice, of which one holds a value: they are exchanged to be made distinct, and for nothing else."""
+    word = many_values(spark)[1]
+    rows = [("p", i, ([(f"A{i}", word(1000)), (f"B{i}", None)],)) for i in range(2000)] + [("p", 2000, ([("A", "与甲乙"), None, ("B", "甲")],)), ("p", 2001, ([],)), ("p", 2002, None)]
+    kind = "project_id string, k int, structure struct<cells: array<struct<ref: string, text: string>>>"
+    items = spark.createDataFrame([("p", 1, "甲乙", "人员A", "人员A"), ("p", 2, "乙甲", "人员B", "人员B")], ITEM)
+    began = shuffled(spark)
+    got = redact_cells(spark.createDataFrame(rows + rows[-1000:], kind), items, "project_id", "k").collect()
+    want = {k: s[0] for _, k, s in rows[:2000]} | {2000: [("A", "与人员A"), (None, None), ("B", "甲")]}
+    assert sorted((r["k"], [tuple(c) for c in r["cells"]]) for r in got) == sorted(want.items())
+    assert shuffled(spark) - began < 3_500_000
+
+
 def test_contains_join_sends_values_once(spark):
     items, word = many_values(spark)
     texts = spark.createDataFrame([("p", word(500)) for _ in range(300)], "project_id string, text string")

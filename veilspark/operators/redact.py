@@ -231,10 +231,10 @@ def _meet(x: DataFrame, found: DataFrame, project: str, how: str) -> DataFrame:
     return x.join(found, (x["_id"] == found["i"]) & x[project].eqNullSafe(found["ap"]), how).drop("_id", "i", "ap")
 
 
-def _near(found: DataFrame) -> tuple[DataFrame, Column]:
-    """The candidates, written, and which texts may have some, by a bitmap of ids: where few texts have, the others need not travel."""
+def _near(found: DataFrame, project: str) -> tuple[DataFrame, Column]:
+    """The candidates, written, and which texts may have some, by a bitmap of ids with projects: where few have, the others need not travel."""
     found = cut(found)
-    ship = found.sparkSession.sparkContext.broadcast(_bitmap(found.select(F.col("i").alias("h")), found.count()))
+    ship = found.sparkSession.sparkContext.broadcast(_bitmap(found.select(F.xxhash64("i", "ap").alias("h")), found.count()))
 
     def may(i: pd.Series) -> pd.Series:
         (width, bits), h, ok = ship.value, i.to_numpy().view(np.uint64), np.ones(len(i), bool)
@@ -243,7 +243,7 @@ def _near(found: DataFrame) -> tuple[DataFrame, Column]:
             ok &= (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
         return pd.Series(ok)
 
-    return found, F.pandas_udf(may, "boolean")("_id")
+    return found, F.pandas_udf(may, "boolean")(F.xxhash64("_id", project))
 
 
 def _pairs(found: list) -> list[tuple[str, str]]:
@@ -281,7 +281,7 @@ def present_values(texts: DataFrame, values: DataFrame, project: str, text: str,
     """(project, value) of the values that stand in at least one text of their project: the contains join."""
     t = texts.select(F.col(project).alias("p"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
     x, found = _candidates(t, values.select(F.col(project).alias("p"), F.col(value).alias("value")).distinct(), "p", "text", "value", [])
-    found, near = _near(found)
+    found, near = _near(found, "p")
     here = F.filter("_found.value", lambda v: F.contains("text", v))
     return _meet(x.filter(near), found, "p", "inner").select("p", F.explode(here)).distinct().toDF(project, value)
 
@@ -306,8 +306,21 @@ def redact_runs(runs: list[str], pairs: list[tuple[str, str]]) -> list[str]:
 
 
 def redact_cells(df: DataFrame, items: DataFrame, project: str, key: str) -> DataFrame:
-    """(key, cells): the cells of structured blocks with their texts replaced, in order."""
-    cells = df.filter("structure.cells is not null").select(project, key, F.posexplode("structure.cells").alias("pos", "c")).select(project, F.struct(F.col(key).alias("k"), "pos", "c.ref").alias("id"), F.col("c.text").alias("text"))
-    done = redact(cells, items, project, "id", "text")
-    one = F.struct(F.col("id.pos").alias("pos"), F.struct(F.col("id.ref").alias("ref"), "text").alias("c"))
-    return done.groupBy(F.col("id.k").alias(key)).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("cells"))
+    """(key, cells): the cells of structured blocks with their texts replaced, in order; blocks of one key count once.
+
+    A block meets the values that its cells can hold together. Blocks that can hold none stay as they are, without a join."""
+    ref, text = F.col("cells.ref"), F.col("cells.text")
+    b = df.filter("size(structure.cells) > 0").select(F.col(project).alias("p"), F.col(key).alias("k"), F.col("structure.cells").alias("cells")).select("p", "k", ref.alias("refs"), text.alias("texts"), F.array_join(text, "\n").alias("text"))
+    x, found = _candidates(b, _values(items, "p", False), "p", "text", "value", ["new", "ord", "step"])
+    found, near = _near(found, "p")
+    x = x.drop("text").dropDuplicates(["k"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            new = [list(texts) if f is None else list(map(Replacer(_pairs(f)), texts)) for texts, f in zip(pdf["texts"].tolist(), pdf["_found"].tolist())]
+            yield pdf[["k", "refs"]].assign(texts=pd.Series(new, dtype=object, index=pdf.index))
+
+    kind = b.schema["k"].dataType.simpleString()
+    done = _meet(x.filter(near), found, "p", "left").select("k", "refs", "texts", "_found").mapInPandas(run, f"k {kind}, refs array<string>, texts array<string>")
+    done = done.unionByName(x.filter(~near).select("k", "refs", "texts"))
+    return done.select(F.col("k").alias(key), F.zip_with("refs", "texts", lambda r, t: F.struct(r.alias("ref"), t.alias("text"))).alias("cells"))

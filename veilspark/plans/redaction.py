@@ -267,8 +267,7 @@ def restore_roundtrip(spark, d):
 )
 def redact_cells(spark, d):
     """The cells of table rows with their texts replaced."""
-    b = load(spark, d, "redacted_text_blocks").dropDuplicates(["block_key"])
-    x = redact.redact_cells(b, load(spark, d, "mapping_items").dropDuplicates(["project_id", "candidate_id"]), "project_id", "block_key")
+    x = redact.redact_cells(load(spark, d, "redacted_text_blocks"), load(spark, d, "mapping_items").dropDuplicates(["project_id", "candidate_id"]), "project_id", "block_key")
     return x.select("block_key", F.array_join(F.transform("cells", lambda c: F.concat(c["ref"], F.lit("="), F.coalesce(c["text"], F.lit("")))), "|").alias("cells"))
 
 
